@@ -1,0 +1,76 @@
+"""Exact decimal arithmetic: narrow operand types, one rounding per labelled step."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MONEY = "decimal(16,2)"
+RATIO = "decimal(12,6)"
+SCORE = "decimal(9,4)"
+
+
+def dec(value, type_: str = RATIO) -> Column:
+    """A decimal literal of a fixed type, so that products keep a predictable scale."""
+    return F.lit(Decimal(str(value))).cast(type_)
+
+
+ZERO_MONEY = "0.00"
+
+
+def zero() -> Column:
+    return dec("0", MONEY)
+
+
+def money(column: Column) -> Column:
+    """Two places, half up."""
+    return F.round(column, 2).cast(MONEY)
+
+
+def ratio(column: Column) -> Column:
+    """Six places, half up."""
+    return F.round(column, 6).cast(RATIO)
+
+
+def four_places(column: Column) -> Column:
+    return F.round(column, 4).cast(SCORE)
+
+
+def bankers(column: Column, places: int, type_: str) -> Column:
+    """Half-even rounding, used where the result definition asks for it."""
+    return F.bround(column, places).cast(type_)
+
+
+def or_zero(column: Column) -> Column:
+    return F.coalesce(column, zero())
+
+
+def divide(numerator: Column, denominator: Column, num_type: str = "decimal(24,6)",
+           den_type: str = "decimal(16,6)") -> Column:
+    """Quotient with at least fourteen decimal places; null when the divisor is zero."""
+    return F.try_divide(numerator.cast(num_type), denominator.cast(den_type))
+
+
+def clamp(column: Column, low, high) -> Column:
+    """Cut to a range; a null stays null (greatest and least alone would skip it)."""
+    return F.when(column.isNotNull(), F.greatest(low, F.least(high, column)))
+
+
+def at_least_zero(column: Column) -> Column:
+    return F.when(column < 0, 0).otherwise(column)
+
+
+def unit_interval(value: Column, low: str, high: str) -> Column:
+    """Position of a value between two bounds, cut to 0..1 and kept at six places; null counts as 0."""
+    if Decimal(high) == Decimal(low):
+        return dec("0")
+    width = Decimal(high) - Decimal(low)
+    scaled = divide(value.cast("decimal(20,6)") - dec(low, "decimal(16,6)"), dec(width, "decimal(16,6)"))
+    return F.coalesce(ratio(clamp(scaled, F.lit(0).cast("decimal(12,6)"), F.lit(1).cast("decimal(12,6)"))), dec("0"))
+
+
+def round_to_step(column: Column, step: int) -> Column:
+    """Nearest multiple of a step, half up."""
+    return (F.round(column / F.lit(Decimal(step)), 0) * F.lit(Decimal(step))).cast(MONEY)
