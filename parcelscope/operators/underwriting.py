@@ -141,8 +141,8 @@ def open_positions(p: Portfolio) -> DataFrame:
     return (p.mortgages.where("is_open")
             .withColumn("position", F.expr(position("position")))
             .groupBy("property_id", "position")
-            .agg(F.expr("""max_by(struct(balance, balance_is_estimated, original_amount, rate, term_months,
-                                         origination_date), struct(coalesce(balance, 0), -seq)) AS m"""))
+            .agg(F.expr("""min_by(struct(balance, balance_is_estimated, original_amount, rate, term_months,
+                                         origination_date), struct(-coalesce(balance, 0), seq)) AS m"""))
             .select("property_id", "position", "m.*"))
 
 
@@ -336,7 +336,7 @@ def finance_flags(p: Portfolio, as_of: date | None = None) -> DataFrame:
         "concat_ws(':', 'bid-mismatch', CAST(bid AS STRING), CAST(first_balance AS STRING)) AS dedupe_key")
     unknown = p.liens.where(f"amount IS NULL AND status NOT IN {INACTIVE}").selectExpr(
         "property_id", "'missing_lien_amount' AS flag_type", "CAST(NULL AS DECIMAL(16,2)) AS impact",
-        "concat_ws(':', 'missing-lien-amount', lien_type, CAST(seq AS STRING)) AS dedupe_key")
+        "concat_ws(':', 'missing-lien-amount', lien_type, seq) AS dedupe_key")
     return mismatch.unionByName(unknown)
 
 

@@ -50,25 +50,25 @@ PROJECTIONS = {
           p_partkey % 2 AS title_flag_count, p_partkey % 37 = 0 AS has_gating_flag
         FROM {part}""",
     "d_valuations": """
-        SELECT p_partkey AS property_id, 1 AS seq, 'avm' AS valuation_type,
+        SELECT p_partkey AS property_id, '1' AS seq, 'avm' AS valuation_type,
           CAST(p_retailprice * 400 AS DECIMAL(16,2)) AS value, CAST(NULL AS DECIMAL(16,2)) AS value_low,
           CAST(NULL AS DECIMAL(16,2)) AS value_high, CAST('2001-12-31' AS DATE) - CAST(p_size * 3 AS INT) AS as_of,
           CAST(0.5 + CAST(p_size AS DECIMAL(4,0)) / 100 AS DECIMAL(5,4)) AS reported_confidence,
           CAST(0.9 AS DECIMAL(5,4)) AS confidence, true AS is_estimated
         FROM {part} WHERE p_partkey % 13 <> 0
         UNION ALL
-        SELECT p_partkey, 2, 'comp', CAST(p_retailprice * (350 + p_size * 4) AS DECIMAL(16,2)),
+        SELECT p_partkey, '2', 'comp', CAST(p_retailprice * (350 + p_size * 4) AS DECIMAL(16,2)),
           CAST(p_retailprice * 320 AS DECIMAL(16,2)), CAST(p_retailprice * 600 AS DECIMAL(16,2)),
           CAST('2001-11-30' AS DATE) - CAST(p_size AS INT), CAST(NULL AS DECIMAL(5,4)),
           CAST(0.6 + CAST(p_size AS DECIMAL(4,0)) / 200 AS DECIMAL(5,4)), false
         FROM {part} WHERE p_partkey % 11 <> 0
         UNION ALL
-        SELECT p_partkey, 3, 'assessed', CAST(p_retailprice * (200 + p_size * 5) AS DECIMAL(16,2)),
+        SELECT p_partkey, '3', 'assessed', CAST(p_retailprice * (200 + p_size * 5) AS DECIMAL(16,2)),
           CAST(NULL AS DECIMAL(16,2)), CAST(NULL AS DECIMAL(16,2)), CAST('2001-01-01' AS DATE),
           CAST(NULL AS DECIMAL(5,4)), CAST(0.95 AS DECIMAL(5,4)), false
         FROM {part} WHERE p_partkey % 3 = 0 AND p_partkey % 13 <> 0""",
     "d_mortgages": """
-        SELECT l_partkey AS property_id, l_orderkey AS seq,
+        SELECT l_partkey AS property_id, LPAD(CAST(l_orderkey AS STRING), 12, '0') AS seq,
           CASE l_suppkey % 4 WHEN 0 THEN 'First' WHEN 1 THEN '2nd' WHEN 2 THEN 'HELOC' ELSE 'first' END AS position,
           'Lender ' || CAST(l_suppkey % 20 AS STRING) AS lender,
           CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * 1.5 AS DECIMAL(16,2)) AS original_amount,
@@ -80,7 +80,7 @@ PROJECTIONS = {
           l_suppkey % 4 <> 3 AS is_open
         FROM {lineitem} WHERE l_linenumber = 1""",
     "d_liens": """
-        SELECT l_partkey AS property_id, l_orderkey * 10 + l_linenumber AS seq,
+        SELECT l_partkey AS property_id, LPAD(CAST(l_orderkey * 10 + l_linenumber AS STRING), 12, '0') AS seq,
           CASE l_suppkey % 6 WHEN 0 THEN 'federal_tax' WHEN 1 THEN 'judgment' WHEN 2 THEN 'hoa' WHEN 3 THEN 'mechanics'
                WHEN 4 THEN 'state_tax' ELSE 'child_support' END AS lien_type,
           'Creditor ' || CAST(l_suppkey AS STRING) AS creditor,
@@ -107,7 +107,7 @@ PROJECTIONS = {
           p_size % 5 < 3 AS is_active
         FROM {part} WHERE p_partkey % 4 = 0""",
     "d_bankruptcies": """
-        SELECT o_custkey AS property_id, o_orderkey AS seq,
+        SELECT o_custkey AS property_id, LPAD(CAST(o_orderkey AS STRING), 12, '0') AS seq,
           CASE o_orderkey % 3 WHEN 0 THEN '7' WHEN 1 THEN '11' ELSE '13' END AS chapter,
           CASE o_orderkey % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'discharged'
                WHEN 3 THEN 'closed' ELSE 'filed' END AS status,
@@ -116,19 +116,22 @@ PROJECTIONS = {
           CAST(1 + o_orderkey % 2 AS INT) AS sequence
         FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
     "d_listings": """
-        SELECT o_custkey AS property_id, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS list_date,
+        SELECT o_custkey AS property_id, LPAD(CAST(o_orderkey AS STRING), 12, '0') AS seq, CAST(o_orderdate AS DATE) AS list_date,
           CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS delist_date,
           CAST(o_totalprice AS DECIMAL(16,2)) AS price, false AS price_is_estimated,
           CASE o_orderkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'expired' WHEN 2 THEN 'cancelled' ELSE 'sold' END AS status,
           CAST(o_orderkey % 200 AS INT) AS dom
         FROM {orders} WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P'""",
     "d_comparables": """
-        SELECT l_partkey AS property_id, l_orderkey AS seq, 'Comp ' || CAST(l_suppkey AS STRING) AS address,
+        SELECT l_partkey AS property_id, LPAD(CAST(l_orderkey AS STRING), 12, '0') AS seq, 'Comp ' || CAST(l_suppkey AS STRING) AS address,
           CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS sale_date,
           CASE WHEN l_quantity > 47 THEN NULL ELSE CAST(300000 + l_extendedprice * 2 AS DECIMAL(16,2)) END AS price,
           CAST(700 + l_quantity * 50 AS DECIMAL(20,6)) AS sqft, CAST(l_discount * 30 AS DECIMAL(20,6)) AS distance,
           l_returnflag <> 'N' AS included
         FROM {lineitem} WHERE l_linenumber = 3""",
+    "d_owners": """
+        SELECT p_partkey AS property_id, p_brand AS owner_name FROM {part}
+        UNION ALL SELECT p_partkey, p_type FROM {part} WHERE p_partkey % 4 = 0""",
     "d_scores": """
         SELECT o_orderkey AS score_id, o_custkey AS property_id, CAST(CAST(o_totalprice AS DECIMAL(16,2)) * 0.0002 AS DECIMAL(9,4)) AS overall,
           CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS computed_on,
@@ -181,6 +184,5 @@ class Tables:
         counts = F.when(F.col("corroborated_fields") > 0, F.map_from_entries(F.transform(
             F.sequence(F.lit(1), F.col("corroborated_fields")),
             lambda n: F.struct(F.concat(F.lit("field"), n.cast("string")), F.lit(2).cast("bigint")))))
-        frames["core"] = frames["core"].withColumn("source_counts_by_field", counts) \
-            .withColumn("owner_names", F.array("owner_name"))
+        frames["core"] = frames["core"].withColumn("source_counts_by_field", counts)
         return Portfolio(**{name: conform(frame, PORTFOLIO_SCHEMAS[name]) for name, frame in frames.items()})

@@ -25,7 +25,7 @@ CORE = _schema("""
     property_id bigint, apn string, line1 string, unit string, city string, state string, zip5 string,
     county string, fips string, lat decimal(10,7), lng decimal(10,7),
     beds decimal(20,6), baths decimal(20,6), sqft decimal(20,6), lot_sqft decimal(20,6), year_built decimal(20,6),
-    units decimal(20,6), owner_names array<string>, entity_type string, is_owner_occupied boolean,
+    units decimal(20,6), owner_count bigint, entity_type string, is_owner_occupied boolean,
     is_absentee boolean, ownership_start_date date, purchase_price decimal(16,2), years_owned decimal(9,4),
     annual_taxes decimal(16,2), assessed_value decimal(16,2), delinquent_amount decimal(16,2), delinquent_years int,
     hoa_monthly_dues decimal(16,2), hoa_arrears decimal(16,2), hoa_has_lien boolean,
@@ -37,19 +37,19 @@ CORE = _schema("""
 """)
 
 VALUATIONS = _schema("""
-    property_id bigint, seq bigint, valuation_type string, value decimal(16,2), value_low decimal(16,2),
+    property_id bigint, seq string, valuation_type string, value decimal(16,2), value_low decimal(16,2),
     value_high decimal(16,2), as_of date, reported_confidence decimal(5,4), weight_hint decimal(18,6),
     confidence decimal(5,4), source_kind string, is_estimated boolean
 """)
 
 MORTGAGES = _schema("""
-    property_id bigint, seq bigint, position string, lender string, original_amount decimal(16,2),
+    property_id bigint, seq string, position string, lender string, original_amount decimal(16,2),
     rate decimal(9,6), term_months int, origination_date date, balance decimal(16,2),
     balance_confidence decimal(5,4), balance_is_estimated boolean, balance_method string, is_open boolean
 """)
 
 LIENS = _schema("""
-    property_id bigint, seq bigint, lien_type string, creditor string, amount decimal(16,2),
+    property_id bigint, seq string, lien_type string, creditor string, amount decimal(16,2),
     amount_confidence decimal(5,4), amount_is_estimated boolean, status string, attachment_basis string,
     attachment_confidence decimal(5,4), recording_date date, priority int
 """)
@@ -62,24 +62,29 @@ FORECLOSURE = _schema("""
 """)
 
 BANKRUPTCIES = _schema("""
-    property_id bigint, seq bigint, chapter string, status string, filing_date date, discharge_date date,
+    property_id bigint, seq string, chapter string, status string, filing_date date, discharge_date date,
     sequence int
 """)
 
 LISTINGS = _schema("""
-    property_id bigint, seq bigint, list_date date, delist_date date, price decimal(16,2),
+    property_id bigint, seq string, list_date date, delist_date date, price decimal(16,2),
     price_is_estimated boolean, status string, dom int
 """)
 
+OWNERS = _schema("property_id bigint, owner_name string")
+
 COMPARABLES = _schema("""
-    property_id bigint, seq bigint, address string, sale_date date, price decimal(16,2), sqft decimal(20,6),
+    property_id bigint, seq string, address string, sale_date date, price decimal(16,2), sqft decimal(20,6),
     distance decimal(20,6), similarity decimal(20,6), included boolean
 """)
 
 
 @dataclass(frozen=True)
 class Portfolio:
-    """The resolved record of every property, as long-form tables."""
+    """The resolved record of every property, as long-form tables.
+
+    ``seq`` is an ordering key of the entries of a property; owners are rows, so no list grows in a record.
+    """
 
     core: DataFrame
     valuations: DataFrame
@@ -89,11 +94,13 @@ class Portfolio:
     bankruptcies: DataFrame
     listings: DataFrame
     comparables: DataFrame
+    owners: DataFrame
 
 
 PORTFOLIO_SCHEMAS = {
     "core": CORE, "valuations": VALUATIONS, "mortgages": MORTGAGES, "liens": LIENS, "foreclosure": FORECLOSURE,
     "bankruptcies": BANKRUPTCIES, "listings": LISTINGS, "comparables": COMPARABLES,
+    "owners": OWNERS,
 }
 
 

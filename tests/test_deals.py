@@ -34,11 +34,11 @@ def case(spark):
         "delinquent_years int, condition string, critical_field_coverage decimal(5,4), "
         "source_counts_by_field map<string,bigint>, conflict_count bigint, material_conflict_count bigint, "
         "verified_field_count bigint, newest_report_date date, mean_extraction_confidence decimal(5,4)")
-    valuations = spark.createDataFrame([(4, 1, "comp", D("350000.00"), AS_OF)],
-                                       "property_id long, seq long, valuation_type string, value decimal(16,2), as_of date")
+    valuations = spark.createDataFrame([(4, "1", "comp", D("350000.00"), AS_OF)],
+                                       "property_id long, seq string, valuation_type string, value decimal(16,2), as_of date")
     mortgages = spark.createDataFrame(
-        [(4, 1, "1", D("240000.00"), D("0.065"), 360, date(2017, 8, 1), D("208270.24"), True, True)],
-        "property_id long, seq long, position string, original_amount decimal(16,2), rate decimal(9,6), "
+        [(4, "1", "1", D("240000.00"), D("0.065"), 360, date(2017, 8, 1), D("208270.24"), True, True)],
+        "property_id long, seq string, position string, original_amount decimal(16,2), rate decimal(9,6), "
         "term_months int, origination_date date, balance decimal(16,2), balance_is_estimated boolean, is_open boolean")
     foreclosure = spark.createDataFrame(
         [(4, "nts", AS_OF, AS_OF, D("210000.00"), 2, 0, True)],
