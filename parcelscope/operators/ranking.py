@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelscope.functions.lookups import UNRANKABLE_GATES
 from parcelscope.session import materialize
@@ -43,6 +44,28 @@ def global_positions(df: DataFrame, scope: Sequence[str], order: Sequence[Column
                          (F.col("l.row_") - F.col("o.first_") + F.col("o.before_") + 1).alias(name))
 
 
+def running_totals(df: DataFrame, scope: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Running sum of a value within its scope in a total order, laid out like ``global_positions``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = (df.repartitionByRange(parts, *scope, *order).sortWithinPartitions(*scope, *order)
+            .withColumn("part_", F.spark_partition_id()).withColumn("row_", F.monotonically_increasing_id()))
+    laid = materialize(laid, "totals")
+    # Sums keep the scale of the value; without the cast a decimal sum of sums would lose places.
+    kind = df.schema[value].dataType
+    wide = f"decimal(30,{kind.scale})" if isinstance(kind, T.DecimalType) else kind.simpleString()
+    sizes = laid.groupBy(*scope, "part_").agg(F.sum(value).cast(wide).alias("size_"))
+    before = Window.partitionBy(*scope).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*scope, "part_", F.sum("size_").over(before).cast(wide).alias("before_"))
+    inside = Window.partitionBy(*scope, "part_").orderBy("row_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = laid.withColumn("inside_", F.sum(value).over(inside).cast(wide))
+    same = F.col("l.part_") == F.col("o.part_")
+    for key in scope:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"o.{key}"))
+    joined = rows.alias("l").join(offsets.alias("o"), same)
+    return joined.select(*[F.col(f"l.{column}") for column in df.columns],
+                         (F.col("l.inside_") + F.coalesce(F.col("o.before_"), F.lit(0).cast(wide))).alias(name))
+
+
 def rankable(scores: DataFrame) -> DataFrame:
     """Scores none of whose gates keeps them out of a ranking."""
     blocked = F.array(*[F.lit(gate) for gate in UNRANKABLE_GATES])

@@ -92,6 +92,6 @@ def plain(df: DataFrame) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """Import every catalogue module and return the registry."""
-    from parcelscope.plans.catalog import deals, ranks, records, watch  # noqa: F401
+    from parcelscope.plans.catalog import deals, extracts, ranks, records, reports, watch  # noqa: F401
 
     return REGISTRY

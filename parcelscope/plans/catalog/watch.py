@@ -248,16 +248,17 @@ def flat_diff(t):
 @query("FLG-12_flag_resolutions", sql="""
     SELECT flag_no AS flag_id, CASE WHEN status = 'open' AND flag_no % 4 <> 3 THEN 'resolved' ELSE status END AS status,
       CASE WHEN status = 'open' AND flag_no % 4 <> 3 THEN
-        CASE flag_no % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'replace' END END AS resolution FROM d_flags""")
+        CASE flag_no % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'replace' END END AS resolution
+    FROM (SELECT flag_no, min(status) AS status FROM d_flags GROUP BY 1)""")
 def flag_resolutions(t):
-    table = t.table("d_flags").select(F.col("flag_no").alias("flag_id"), "property_id", "flag_type", "impact", "status", "dedupe_key",
-                                      F.array(F.concat(F.lit("f"), F.col("flag_no"))).alias("fact_ids"))
+    table = t.table("d_flags").groupBy(F.col("flag_no").alias("flag_id")).agg(
+        F.min("property_id").alias("property_id"), F.min("flag_type").alias("flag_type"), F.min("status").alias("status"))
+    table = table.withColumn("fact_ids", F.array(F.concat(F.lit("f"), F.col("flag_id"))))
     decisions = table.selectExpr(
         "flag_id", "CASE flag_id % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'replace' ELSE 'unknown' END AS action",
         "'attributes.sqft' AS field_path", "'1500' AS value", "'checked' AS note", "'u1' AS user_id",
         "TIMESTAMP'2002-01-01 00:00:00' AS decided_at")
     facts = table.selectExpr("fact_ids[0] AS fact_id", "property_id", "'attributes.sqft' AS field_path", "true AS is_active")
     resolutions = table.selectExpr("fact_ids[0] AS winning_fact_id", "property_id", "'auto' AS verification_state")
-    out = flags.resolve_flags(table.dropDuplicates(["flag_id"]), decisions.dropDuplicates(["flag_id"]), facts, resolutions)
-    joined = out["flags"].select("flag_id", "status", "resolution")
-    return plain(table.select("flag_id").join(joined, "flag_id"))
+    out = flags.resolve_flags(table, decisions, facts, resolutions)
+    return plain(out["flags"].select("flag_id", "status", "resolution"))
