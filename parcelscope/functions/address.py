@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.functions.lookups import DIRECTIONALS, STREET_SUFFIXES, UNIT_DESIGNATORS, literal_map
@@ -28,46 +28,53 @@ def _is_suffix(token: Column) -> Column:
     return token.isin(*sorted(set(STREET_SUFFIXES.values())))
 
 
-def address_parts(address: Column, zip_code: Column) -> Column:
-    """Struct of house_number, street, suffix, unit and zip5 of one address line."""
-    text = F.regexp_replace(F.upper(address), "#", " UNIT ")
+def with_address_parts(df: DataFrame, address: str, zip_code: str) -> DataFrame:
+    """Add house_number, street, suffix, unit and zip5 of an address line.
+
+    The work is laid out in layers of columns: each layer is evaluated once and named, where one nested expression would be
+    copied into every field that uses it.
+    """
+    text = F.regexp_replace(F.upper(F.coalesce(F.col(address), F.lit(""))), "#", " UNIT ")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, "[^A-Z0-9 ]", " "), r"\s+", " "))
     text = F.regexp_replace(F.regexp_replace(text, r"\bP O BOX\b", "PO BOX"), r"\bPOBOX\b", "PO BOX")
-    tokens = F.filter(F.split(text, " "), lambda token: token != "")
+    rows = df.withColumn("zip_", zip_prefix(F.col(zip_code))).withColumn(
+        "tokens_", F.filter(F.split(text, " "), lambda token: token != ""))
 
     designators = literal_map(UNIT_DESIGNATORS, "string", "string")
+    tokens = F.col("tokens_")
     with_follower = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)) \
                      .otherwise(F.array().cast("array<int>"))
     marked = F.filter(with_follower, lambda at: F.try_element_at(designators, F.get(tokens, at - 1)).isNotNull())
-    at = F.get(marked, F.lit(0))
-    unit = F.when(at.isNotNull(), F.concat_ws(" ", F.try_element_at(designators, F.get(tokens, at - 1)),
-                                              F.get(tokens, at)))
+    rows = rows.withColumn("at_", F.get(marked, F.lit(0)))
+    at = F.col("at_")
+    unit = F.when(at.isNotNull(), F.concat_ws(" ", F.try_element_at(designators, F.get(tokens, at - 1)), F.get(tokens, at)))
     rest = F.when(at.isNull(), tokens).otherwise(
         F.filter(tokens, lambda _token, index: (index != at - 1) & (index != at)))
-    rest = _swap(_swap(rest, DIRECTIONALS), STREET_SUFFIXES)
-
-    is_box = (F.get(rest, F.lit(0)) == "PO") & (F.get(rest, F.lit(1)) == "BOX")
-    is_box = F.coalesce(is_box, F.lit(False))
-    number = F.when(F.get(rest, F.lit(0)).rlike(r"^\d+[A-Z]?$"), F.get(rest, F.lit(0)))
-    street = F.when(number.isNotNull(), F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
-    last = F.try_element_at(street, F.lit(-1))
-    has_suffix = F.coalesce((F.size(street) > 1) & _is_suffix(last), F.lit(False))
-    name = F.when(has_suffix, F.slice(street, F.lit(1), F.greatest(F.size(street) - 1, F.lit(0)))).otherwise(street)
-    return F.struct(
-        F.when(is_box, F.get(rest, F.lit(2))).otherwise(number).alias("house_number"),
-        F.when(is_box, F.lit("PO BOX")).otherwise(F.array_join(name, " ")).alias("street"),
-        F.when(is_box | ~has_suffix, F.lit("")).otherwise(last).alias("suffix"),
-        unit.alias("unit"),
-        zip_prefix(zip_code).alias("zip5"),
-    )
-
-
-def address_key(parts: Column) -> Column:
+    rows = rows.withColumns({"unit_": unit, "rest_": _swap(_swap(rest, DIRECTIONALS), STREET_SUFFIXES)})
+
+    rest = F.col("rest_")
+    first = F.get(rest, F.lit(0))
+    rows = rows.withColumns({
+        "is_box_": F.coalesce((first == "PO") & (F.get(rest, F.lit(1)) == "BOX"), F.lit(False)),
+        "number_": F.when(first.rlike(r"^\d+[A-Z]?$"), first)})
+    rows = rows.withColumn("street_", F.when(F.col("number_").isNotNull(), F.slice(
+        rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest))
+    street = F.col("street_")
+    rows = rows.withColumn("last_", F.try_element_at(street, F.lit(-1)))
+    rows = rows.withColumn("has_suffix_", F.coalesce((F.size(street) > 1) & _is_suffix(F.col("last_")), F.lit(False)))
+    name = F.when(F.col("has_suffix_"), F.slice(street, F.lit(1), F.greatest(F.size(street) - 1, F.lit(0)))).otherwise(street)
+    return rows.withColumns({
+        "house_number": F.when(F.col("is_box_"), F.get(rest, F.lit(2))).otherwise(F.col("number_")),
+        "street": F.when(F.col("is_box_"), F.lit("PO BOX")).otherwise(F.array_join(name, " ")),
+        "suffix": F.when(~F.col("is_box_") & F.col("has_suffix_"), F.col("last_")).otherwise(F.lit("")),
+        "unit": F.col("unit_"), "zip5": F.col("zip_"),
+    }).drop("zip_", "tokens_", "at_", "unit_", "rest_", "is_box_", "number_", "street_", "last_", "has_suffix_")
+
+
+def address_key() -> Column:
     """number|street|suffix|unit|zip5, absent parts empty."""
-    def text(name: str) -> Column:
-        return F.coalesce(parts[name], F.lit(""))
-
-    return F.concat_ws("|", text("house_number"), text("street"), text("suffix"), text("unit"), text("zip5"))
+    return F.concat_ws("|", *[F.coalesce(F.col(name), F.lit("")) for name in
+                              ("house_number", "street", "suffix", "unit", "zip5")])
 
 
 def street_portion(key: Column) -> Column:
