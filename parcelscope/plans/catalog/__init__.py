@@ -92,6 +92,16 @@ def plain(df: DataFrame) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """Import every catalogue module and return the registry."""
-    from parcelscope.plans.catalog import deals, extracts, places, ranks, records, reports, watch  # noqa: F401
+    from parcelscope.plans.catalog import (  # noqa: F401
+        deals,
+        extracts,
+        insight,
+        lists,
+        places,
+        ranks,
+        records,
+        reports,
+        watch,
+    )
 
     return REGISTRY

@@ -147,6 +147,39 @@ PROJECTIONS = {
           'flag:' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey % 10 AS STRING) AS dedupe_key,
           CAST(l_shipdate AS DATE) AS raised_on
         FROM {lineitem} WHERE l_linenumber = 4""",
+    "d_properties": """
+        SELECT p_partkey AS id, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE 'APN-' || CAST(p_partkey AS STRING) END AS apn,
+          CAST(1 + p_partkey % 900 AS STRING) || ' ' || p_name AS address_line1, 'City ' || CAST(p_size % 7 AS STRING) AS city,
+          CASE p_partkey % 3 WHEN 0 THEN 'CA' WHEN 1 THEN 'FL' ELSE 'NY' END AS state,
+          CAST(90000 + p_partkey % 100 AS STRING) AS zip5,
+          CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'new' WHEN 2 THEN 'offer' WHEN 3 THEN 'closed' ELSE 'dead' END AS pipeline_status,
+          p_type AS tag, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS other_tag,
+          CASE WHEN p_partkey % 6 = 0 THEN 'call' END AS next_action,
+          CASE WHEN p_partkey % 6 = 0 THEN CAST('2002-01-01' AS DATE) + CAST(p_size AS INT) END AS next_action_date,
+          CASE WHEN p_partkey % 7 <> 0 THEN CAST(1 + p_partkey % 5 AS INT) END AS gut_rating,
+          CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_watchlisted,
+          CAST(30 + CAST(p_size AS DECIMAL(6,2)) / 10 AS DECIMAL(10,7)) AS lat,
+          CAST('2001-01-01' AS DATE) + CAST(p_partkey % 365 AS INT) AS created_on,
+          CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 END AS merged_into_id
+        FROM {part}""",
+    "d_deals": """
+        SELECT o_orderkey AS deal_id, o_custkey AS property_id,
+          CASE o_orderkey % 7 WHEN 0 THEN 'dead' WHEN 1 THEN 'loss' ELSE 'sold' END AS outcome,
+          CAST(CAST(o_totalprice AS DECIMAL(16,2)) * 0.6 AS DECIMAL(16,2)) AS purchase_price,
+          CASE WHEN o_orderkey % 11 <> 0 THEN CAST(5000 + o_orderkey % 100 * 300 AS DECIMAL(16,2)) END AS actual_repairs,
+          CAST(2000 + o_custkey % 50 * 100 AS DECIMAL(16,2)) AS actual_costs, CAST(o_totalprice AS DECIMAL(16,2)) AS sale_price,
+          CAST(90 + o_orderkey % 120 AS INT) AS actual_holding_days, CAST(o_orderdate AS DATE) AS closed_on,
+          CASE o_custkey % 6 WHEN 0 THEN 'cosmetic' WHEN 1 THEN 'moderate' WHEN 2 THEN 'heavy' WHEN 3 THEN 'gut' WHEN 4 THEN 'pristine' END AS condition,
+          CAST(6000 + o_custkey % 90 * 250 AS DECIMAL(16,2)) AS predicted_repairs,
+          CASE WHEN o_custkey % 8 <> 0 THEN CAST(100 + o_custkey % 90 AS INT) END AS predicted_holding_days,
+          CAST(CAST(o_totalprice AS DECIMAL(16,2)) * 0.0002 AS DECIMAL(9,4)) AS overall_score,
+          CASE WHEN o_orderkey % 13 <> 0 THEN CAST(1 + o_orderkey % 5 AS INT) END AS gut_rating,
+          CAST(CAST(o_totalprice AS DECIMAL(16,2)) * (CAST(90 + o_orderkey % 20 AS DECIMAL(6,0)) * 0.01) AS DECIMAL(16,2)) AS predicted_avm,
+          CAST(CAST(o_totalprice AS DECIMAL(16,2)) * (CAST(95 + o_orderkey % 8 AS DECIMAL(6,0)) * 0.01) AS DECIMAL(16,2)) AS predicted_comp,
+          CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(16,2)) * 0.7 AS DECIMAL(16,2)) END AS predicted_assessed,
+          CAST(o_orderkey % 100 AS DECIMAL(9,4)) AS fos, CAST(o_custkey % 60 AS DECIMAL(9,4)) AS distress,
+          CAST(50 + o_orderkey % 40 AS DECIMAL(9,4)) AS dcs, CAST(o_orderkey % 30 AS DECIMAL(9,4)) AS risk
+        FROM {orders}""",
     "d_reports": """
         SELECT doc_id AS report_id, source AS batch_id, doc_id % 500 AS property_id, doc_id % 7 = 0 AS ocr_applied,
           CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'queued' ELSE 'ingested' END AS status,
@@ -179,6 +212,21 @@ class Tables:
             "score_id", "property_id", "overall", F.col("computed_on").cast("timestamp").alias("computed_at"),
             F.array_compact(F.array("gate")).alias("gates_applied"), "batch")
 
+    def properties(self) -> DataFrame:
+        return self.table("d_properties").select(
+            "id", "apn", "address_line1", "city", "state", "zip5", "pipeline_status",
+            F.array_compact(F.array("tag", "other_tag")).alias("tags"), "next_action", "next_action_date", "gut_rating",
+            "is_watchlisted", "lat", F.lit(None).cast("decimal(10,7)").alias("lng"),
+            F.col("created_on").cast("timestamp").alias("created_at"), F.col("created_on").cast("timestamp").alias("updated_at"),
+            "merged_into_id")
+
+    def deals(self) -> DataFrame:
+        deals = self.table("d_deals")
+        predictions = F.create_map(F.lit("avm"), "predicted_avm", F.lit("comp"), "predicted_comp", F.lit("assessed"), "predicted_assessed")
+        pillars = F.create_map(*[cell for name in ("fos", "distress", "dcs", "risk") for cell in (F.lit(name), F.col(name))])
+        return deals.withColumns({"valuation_predictions": predictions, "pillar_scores": pillars,
+                                  "closed_at": F.col("closed_on").cast("timestamp")})
+
     def portfolio(self) -> Portfolio:
         frames = {name: self.table(f"d_{name}") for name in PORTFOLIO_SCHEMAS}
         counts = F.when(F.col("corroborated_fields") > 0, F.map_from_entries(F.transform(
