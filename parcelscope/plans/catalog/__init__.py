@@ -95,6 +95,7 @@ def load() -> dict[str, Query]:
     from parcelscope.plans.catalog import (  # noqa: F401
         deals,
         extracts,
+        flows,
         insight,
         lists,
         places,

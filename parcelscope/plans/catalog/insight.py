@@ -67,7 +67,9 @@ def numbers_in_text(t):
 
 
 @query("ANL-3_number_check", "JSN-1 SET-6", sql="""
-    SELECT o_orderkey AS id, CAST(2 AS BIGINT) AS numbers, o_orderkey % 5 <> 0 AS is_valid FROM orders""")
+    SELECT id, CAST(CASE WHEN n = price THEN 1 ELSE 2 END AS BIGINT) AS numbers, id % 5 <> 0 OR n = price OR n = round_even(price, 1) AS is_valid
+    FROM (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(16,2)) AS price,
+            round_even(CAST(o_totalprice AS DECIMAL(16,2)), 0) + CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE 0 END AS n FROM orders)""")
 def number_check(t):
     orders = t.source("orders").selectExpr("o_orderkey AS id", "CAST(o_totalprice AS DECIMAL(16,2)) AS price")
     texts = orders.selectExpr("id", """concat('Worth $', format_number(price, 2), ' or ',
