@@ -157,9 +157,9 @@ def full_export(t):
 def replaced_results(t):
     folder = _folder(t, "results")
     rows = t.table("d_liens").select("property_id", "lien_type", "amount")
-    writers.replace_results(rows.withColumn("version", F.lit(1)), folder)
+    writers.replace_results(rows.withColumn("version", F.lit(1)), folder, buckets=16)
     for _ in range(2):
-        writers.replace_results(rows.where("property_id % 4 = 0").withColumn("version", F.lit(2)), folder)
+        writers.replace_results(rows.where("property_id % 4 = 0").withColumn("version", F.lit(2)), folder, buckets=16)
     return plain(t.spark.read.parquet(folder).select("property_id", "version", "lien_type", "amount"))
 
 

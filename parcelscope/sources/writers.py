@@ -44,18 +44,18 @@ def full_export(tables: Mapping[str, DataFrame], facts: DataFrame, folder: str)
     return [*written, f"{folder}/facts.jsonl"]
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("property_id"), F.lit(RESULT_BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("property_id"), F.lit(buckets)).cast("int")
 
 
-def replace_results(results: DataFrame, path: str) -> None:
+def replace_results(results: DataFrame, path: str, buckets: int = RESULT_BUCKETS) -> None:
     """Replace the rows of the properties in ``results`` and keep all others; running it twice changes nothing.
 
     The table is partitioned by a hash bucket of the property. Only buckets with recomputed properties are rewritten, through
     dynamic partition overwrite, from rows that were written to the shared folder before the swap.
     """
     spark = results.sparkSession
-    fresh = results.withColumn("bucket", _bucket())
+    fresh = results.withColumn("bucket", _bucket(buckets))
     try:
         existing = spark.read.parquet(path)
     except AnalysisException:
@@ -66,7 +66,7 @@ def replace_results(results: DataFrame, path: str) -> None:
             results.select("property_id").distinct(), "property_id", "left_anti")
         fresh = fresh.unionByName(kept.select(*fresh.columns))
     rows = materialize(fresh, "replace")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def mark_recomputed(properties: DataFrame, underwriting: DataFrame, at: datetime) -> DataFrame:
