@@ -98,17 +98,17 @@ def _near_totals(values: DataFrame, keys: list[str], name: str) -> DataFrame:
     many values is split into cells of the axis; values close to a border also stand in the cell behind it.
     """
     rows = values.selectExpr(
-        "*", "CASE WHEN is_money THEN CAST(signum(num) AS STRING) ELSE agree_key END AS cluster",
-        f"CASE WHEN is_money AND num <> 0 THEN CAST(round(ln(CAST(abs(num) AS DOUBLE)) * {LOG_STEPS}D) AS BIGINT) "
-        "ELSE 0L END AS axis", f"CAST(floor(axis / {CELL}D) AS BIGINT) AS cell")
-    before = f"CASE WHEN is_money AND axis - cell * {CELL}L <= {NEAR}L THEN struct(cell - 1 AS place, false AS asks) END"
-    after = f"CASE WHEN is_money AND (cell + 1) * {CELL}L - axis <= {NEAR}L THEN struct(cell + 1 AS place, false AS asks) END"
+        "*", "CAST(signum(num) AS INT) AS sign",
+        f"CASE WHEN num <> 0 THEN CAST(round(ln(CAST(abs(num) AS DOUBLE)) * {LOG_STEPS}D) AS BIGINT) ELSE 0L END AS axis",
+        f"CAST(floor(axis / {CELL}D) AS BIGINT) AS cell")
+    before = f"CASE WHEN axis - cell * {CELL}L <= {NEAR}L THEN struct(cell - 1 AS place, false AS asks) END"
+    after = f"CASE WHEN (cell + 1) * {CELL}L - axis <= {NEAR}L THEN struct(cell + 1 AS place, false AS asks) END"
     placed = rows.selectExpr("*", f"inline(array_compact(array(struct(cell AS place, true AS asks), {before}, {after})))")
-    line = Window.partitionBy(*keys, "cluster", "place").orderBy("axis")
+    line = Window.partitionBy(*keys, "sign", "place").orderBy("axis")
     up_to = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, NEAR))
     below = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, -NEAR - 1))
     return (placed.withColumn(name, up_to - F.coalesce(below, F.lit(0))).where("asks")
-            .drop("cluster", "axis", "cell", "place", "asks"))
+            .drop("sign", "axis", "cell", "place", "asks"))
 
 
 def agreement(facts: DataFrame) -> DataFrame:
@@ -122,14 +122,19 @@ def agreement(facts: DataFrame) -> DataFrame:
                          WHEN stated_flag IS NOT NULL THEN concat('b:', CAST(stated_flag AS STRING))
                          WHEN stated_text IS NOT NULL THEN concat('t:', lower(stated_text)) END""")
     rows = facts.withColumn("agree_key", key)
-    value = [*GROUP, "agree_key", "is_money"]
-    by_report = (rows.where("agree_key IS NOT NULL").groupBy(*value, "report_id")
-                 .agg(F.count("*").alias("n"), F.first(F.when(F.col("is_money"), F.col("num"))).alias("num")))
-    by_value = by_report.groupBy(*value).agg(F.sum("n").alias("n"), F.first("num").alias("num"))
+    stated = rows.where("agree_key IS NOT NULL")
+    same = stated.where("NOT is_money").groupBy(*GROUP, "agree_key", "report_id").agg(F.count("*").alias("n"))
+    total = same.groupBy(*GROUP, "agree_key").agg(F.sum("n").alias("total"))
+    equal = same.join(total, [*GROUP, "agree_key"]).select(
+        *GROUP, "agree_key", "report_id", (F.col("total") - F.col("n")).alias("agreeing"))
+    money = stated.where("is_money").groupBy(*GROUP, "agree_key", "report_id").agg(
+        F.count("*").alias("n"), F.first("num").alias("num"))
+    by_value = money.groupBy(*GROUP, "agree_key").agg(F.sum("n").alias("n"), F.first("num").alias("num"))
     everyone = _near_totals(by_value, GROUP, "total").select(*GROUP, "agree_key", "total")
-    own = _near_totals(by_report, [*GROUP, "report_id"], "own").select(*GROUP, "agree_key", "report_id", "own")
-    counts = own.join(everyone, [*GROUP, "agree_key"]) \
-                .select(*GROUP, "agree_key", "report_id", (F.col("total") - F.col("own")).alias("agreeing"))
+    own = _near_totals(money, [*GROUP, "report_id"], "own").select(*GROUP, "agree_key", "report_id", "own")
+    near = own.join(everyone, [*GROUP, "agree_key"]).select(
+        *GROUP, "agree_key", "report_id", (F.col("total") - F.col("own")).alias("agreeing"))
+    counts = equal.unionByName(near)
     return rows.join(counts, [*GROUP, "agree_key", "report_id"], "left") \
                .withColumn("agreeing", F.coalesce("agreeing", F.lit(0).cast("bigint"))).drop("agree_key")
 
