@@ -111,8 +111,8 @@ def classify(pages: DataFrame, signatures: Sequence[Signature] = DEFAULT_SIGNATU
     return sizes.join(best, "report_id", "left").selectExpr(
         "report_id", f"coalesce({table('report_type', 'STRING')}, 'unknown') AS report_type",
         f"{table('vendor', 'STRING')} AS vendor",
-        f"""coalesce(bround(least(0.95D, 0.5D + 0.4D * {rate} + CASE WHEN on_first THEN 0.05D ELSE 0D END), 4), 0D)
-            AS confidence""", f"coalesce(bround({rate}, 4), 0D) AS match_rate")
+        f"""CASE WHEN hits IS NULL THEN 0D ELSE
+            bround(least(0.95D, 0.5D + 0.4D * {rate} + CASE WHEN on_first THEN 0.05D ELSE 0D END), 4) END AS confidence""", f"coalesce(bround({rate}, 4), 0D) AS match_rate")
 
 
 def signature_hits(pages: DataFrame, signatures: Sequence[Signature] = DEFAULT_SIGNATURES) -> DataFrame:

@@ -12,6 +12,7 @@ from parcelscope.plans import driver_facts
 from parcelscope.plans.catalog import plain, query, step
 from parcelscope.plans.driver_tables import AS_OF
 from parcelscope.plans.recompute import Results, recompute
+from parcelscope.session import materialize
 
 DAY = date.fromisoformat(AS_OF)
 _COMPUTED: dict = {}
@@ -107,7 +108,8 @@ step("o_score_now", """
     WHERE merged_into_id IS NULL""")
 def decorated_list(t):
     scores = t.scores()
-    ranks = ranking.rank_scope(scores, t.spark.createDataFrame([], ranking.RANKINGS), "portfolio", None, datetime(2002, 1, 1))
+    ranks = materialize(ranking.rank_scope(scores, t.spark.createDataFrame([], ranking.RANKINGS), "portfolio", None,
+                                           datetime(2002, 1, 1)), "rankings")
     rows = portfolio.summaries(portfolio.decorated(t.properties(), scores, ranks, t.table("d_flags")))
     return plain(rows.select("id", "address_line1", "pipeline_status", "overall_score", "rank", "open_flags", "is_watchlisted"))
 

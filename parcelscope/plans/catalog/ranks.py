@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelscope.operators import ranking
 from parcelscope.plans.catalog import plain, query, step
+from parcelscope.session import materialize
 
 EARLIER, LATER = datetime(1998, 1, 1), datetime(2002, 1, 1)
 
@@ -22,10 +23,11 @@ step("o_rank", "SELECT *, rank() OVER (ORDER BY overall DESC, property_id) AS ra
 
 
 def _snapshots(t):
-    """The earlier snapshot and the one after it."""
+    """The earlier snapshot, written as a ranking table is, and the one after it."""
     scores = t.scores()
     none = t.spark.createDataFrame([], ranking.RANKINGS)
-    first = ranking.rank_scope(scores.where(F.col("computed_at") < F.lit(EARLIER)), none, "portfolio", None, EARLIER)
+    first = materialize(ranking.rank_scope(scores.where(F.col("computed_at") < F.lit(EARLIER)), none, "portfolio", None, EARLIER),
+                        "rankings")
     return first, ranking.rank_scope(scores, first, "portfolio", None, LATER)
 
 

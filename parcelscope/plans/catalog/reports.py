@@ -75,7 +75,7 @@ step("o_signature_hits", """
 
 @query("DOC-1_classification", "JOI-9 SRC-9", sql="""
     SELECT p.report_id, coalesce(h.kind, 'unknown') AS report_type, h.vendor,
-      coalesce(round_even(least(0.95, 0.5 + 0.4 * (CAST(hits AS DOUBLE) / n) + CASE WHEN on_first THEN 0.05 ELSE 0 END), 4), 0) AS confidence,
+      CASE WHEN hits IS NULL THEN 0 ELSE round_even(least(0.95, 0.5 + 0.4 * (CAST(hits AS DOUBLE) / n) + CASE WHEN on_first THEN 0.05 ELSE 0 END), 4) END AS confidence,
       coalesce(round_even(CAST(hits AS DOUBLE) / n, 4), 0) AS match_rate
     FROM (SELECT report_id, count(*) AS n FROM o_pages GROUP BY 1) p LEFT JOIN (SELECT * FROM o_signature_hits
       QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY hits DESC, priority DESC, place) = 1) h USING (report_id)""")

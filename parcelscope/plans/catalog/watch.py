@@ -62,6 +62,20 @@ def flags_with_impact(t):
     return plain(flags.collect_flags(t.portfolio(), Assumptions(), DAY).select("property_id", "flag_type", "impact"))
 
 
+@query("FLG-1_identity_conflicts", sql="""
+    SELECT property_id, concat_ws(',', CASE WHEN a.apn > 1 THEN 'address' END, CASE WHEN a.line > 1 THEN 'apn' END) AS subject FROM (
+      SELECT l_partkey AS property_id, count(DISTINCT l_orderkey) FILTER (WHERE l_linenumber = 4) AS apn,
+        count(DISTINCT l_orderkey) FILTER (WHERE l_linenumber = 5) AS line FROM lineitem GROUP BY 1) a JOIN d_core USING (property_id)
+    WHERE conflict_count > 0 AND (a.apn > 1 OR a.line > 1)""")
+def identity_conflicts(t):
+    stated = t.source("lineitem").groupBy(F.col("l_partkey").alias("property_id")).agg(F.expr("""map(
+        'address', count(DISTINCT l_orderkey) FILTER (WHERE l_linenumber = 4),
+        'apn', count(DISTINCT l_orderkey) FILTER (WHERE l_linenumber = 5)) AS source_counts_by_field"""))
+    p = t.portfolio()
+    core = p.core.drop("source_counts_by_field").join(stated, "property_id")
+    return plain(flags.identity_flags(replace(p, core=conform(core, PORTFOLIO_SCHEMAS["core"]))).select("property_id", "subject"))
+
+
 @query("FLG-13_gating_summary", sql="""
     SELECT property_id, count(*) AS flags, bool_or(flag_type = 'identity_conflict') AS has_gating_flag,
       count(*) FILTER (WHERE flag_type IN ('identity_conflict', 'conflicting_mortgage', 'foreclosure_unclear')) AS title_flag_count,
