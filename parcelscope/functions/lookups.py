@@ -20,13 +20,7 @@ def literal_map(values: dict, key_type: str, value_type: str) -> Column:
 
 
 # Enumerations of the data contract.
-SCENARIOS = ("conservative", "expected", "optimistic")
 STRATEGIES = ("cash", "flip", "wholesale", "rental", "subject_to", "foreclosure")
-SOURCE_KINDS = ("human", "api", "report", "derived", "pasted")
-NULL_REASONS = ("not_present", "illegible", "redacted", "conflicting_in_source")
-ATTACHMENT_BASES = ("recorded_against_property", "owner_named_only", "unknown")
-ENTITY_TYPES = ("property", "mortgage", "lien", "foreclosure", "bankruptcy", "valuation", "listing", "comp",
-                "tax", "rental", "condition")
 CONDITION_LADDER = ("pristine", "cosmetic", "moderate", "heavy", "gut")
 INACTIVE_LIEN_STATUSES = ("released", "satisfied")
 UNRANKABLE_GATES = ("insufficient_data", "open_gating_flag")

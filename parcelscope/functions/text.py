@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcelscope.functions.lookups import LENDER_ALIASES, POSITION_WORDS, literal_map
+from parcelscope.functions.lookups import LENDER_ALIASES, literal_map
 
 NUMBER = "decimal(28,8)"
 
@@ -34,11 +34,6 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
-def is_grounded(snippet: Column, page_text: Column) -> Column:
-    """The snippet occurs in the whole page text; a missing page counts as empty text."""
-    return F.contains(folded(F.coalesce(page_text, F.lit(""))), folded(snippet))
-
-
 def has_parcel_anchor(snippet: Column) -> Column:
     return snippet.rlike(PARCEL_ANCHOR)
 
@@ -54,14 +49,6 @@ def canonical_lender(name: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(LENDER_ALIASES, "string", "string"), plain), plain)
 
 
-def normalised_position(text: Column) -> Column:
-    """first/1st -> 1 and so on, else the digits in the text, else the text, else 1."""
-    plain = F.lower(F.trim(text))
-    word = F.try_element_at(literal_map(POSITION_WORDS, "string", "string"), plain)
-    digits = F.regexp_replace(plain, r"[^0-9]", "")
-    return F.coalesce(word, F.when(digits != "", digits), F.when(F.trim(text) != "", F.trim(text)), F.lit("1"))
-
-
 def parsed_number(raw: Column) -> Column:
     """Number of a raw text with currency sign, separators, brackets for minus, k/m/b or a percent sign."""
     text = F.trim(raw)
@@ -88,11 +75,6 @@ def parsed_boolean(text: Column) -> Column:
             .when(plain.isin("false", "no", "n", "0"), F.lit(False))
 
 
-def as_rate(value: Column) -> Column:
-    """A rate above one was written in percent."""
-    return F.when(value > 1, value / F.lit(100)).otherwise(value).cast("decimal(9,6)")
-
-
 def numbers_in(text: Column) -> Column:
     """Every number literal of a text, as decimals."""
     found = F.regexp_extract_all(text, F.lit(NUMBER_LITERAL), F.lit(0))

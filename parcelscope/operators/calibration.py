@@ -18,7 +18,6 @@ from parcelscope.operators.assumptions import DEFAULT_SET
 MIN_SAMPLE = 5
 WEIGHT_STEP = "0.05"
 SCORE_BANDS = ((0, 45), (45, 60), (60, 70), (70, 85), (85, 101))
-PILLARS = ("fos", "distress", "dcs", "risk")
 
 
 def realized(deals: DataFrame) -> DataFrame:

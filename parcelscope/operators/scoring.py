@@ -70,7 +70,6 @@ TAX_LIEN_TYPES = ("tax", "property_tax", "state_tax", "federal_tax")
 PRIOR_BANKRUPTCY_STATUSES = ("dismissed", "discharged", "closed")
 FAILED_LISTING_STATUSES = ("expired", "cancelled")
 NEAR_SALE_STAGES = ("nts", "auction")
-TITLE_FLAG_TYPES = ("identity_conflict", "conflicting_mortgage", "foreclosure_unclear")
 
 
 def merged_config(override: Mapping | None = None) -> dict:
