@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from parcelscope.session import materialize
 
 MAX_ROUNDS = 60
+BLOCK = 32
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,19 @@ def _nearest(nodes: DataFrame, part: list[str], axis: str, close, left: Column,
     return _pairs(seen, *links)
 
 
+def _blocked(rows: DataFrame, axis: str, close: Closeness) -> DataFrame:
+    """Rows cut into blocks along an axis, those near a border in both blocks.
+
+    Close entries always share a block, so a name with very many entries is spread over its blocks.
+    """
+    if axis == "day":
+        unit, reach = F.floor(F.col("day") / close.days), 1
+    else:
+        unit, reach = F.coalesce(close.cell(), F.lit(-(1 << 40))), close.reach()
+    places = F.array(*[F.floor((unit + offset) / BLOCK) for offset in (-reach, 0, reach)])
+    return rows.where(F.col(axis).isNotNull()).withColumn("block", F.explode(F.array_distinct(places)))
+
+
 def _stars(nodes: DataFrame, part: list[str], left: Column, right: Column) -> DataFrame:
     """Tie two sets that fit each other completely through the smallest member of each."""
     rows = nodes.where(left | right).withColumn("left_", left).withColumn("right_", right)
@@ -130,8 +144,16 @@ def links(nodes: DataFrame, close: Closeness) -> DataFrame:
 
     named = nodes.where("name IS NOT NULL").withColumn("sign", F.signum("amount").cast("int")) \
                  .withColumn("amount", F.col("amount").cast("decimal(20,6)"))
-    magnitude = named.withColumn("signed", F.col("amount")).withColumn("amount", F.abs("amount"))
     part = ["property_id", "name"]
+    # Equal entries without a document are tied to one of them, and only that one goes on.
+    named = named.withColumn("day_key", F.coalesce(F.col("day").cast("string"), F.lit("-"))) \
+                 .withColumn("amount_key", F.coalesce(F.col("amount").cast("string"), F.lit("-")))
+    alike = [*part, "day_key", "amount_key"]
+    copies = _stars(named.where("NOT has_doc"), alike, F.lit(True), F.lit(True))
+    kept = named.where("NOT has_doc").groupBy(*alike, "has_doc").agg(
+        F.min("node").alias("node"), F.first("day").alias("day"), F.first("amount").alias("amount"), F.first("sign").alias("sign"))
+    named = kept.unionByName(named.where("has_doc").select(*kept.columns))
+    magnitude = named.withColumn("amount", F.abs("amount"))
     no_doc, any_doc = ~F.col("has_doc"), F.col("has_doc")
     has_day, has_amount = F.col("day").isNotNull(), F.col("amount").isNotNull()
     full, day_only = has_day & has_amount, has_day & ~has_amount
@@ -141,14 +163,17 @@ def links(nodes: DataFrame, close: Closeness) -> DataFrame:
         return F.abs(a - b) <= close.days
 
     def pairs_of(rows: DataFrame, axis: str, near, own: Column, others: Column) -> DataFrame:
-        first = _nearest(rows, part, axis, near, own & no_doc, others)
-        return first.unionByName(_nearest(rows, part, axis, near, own & any_doc, others & no_doc))
+        # Amounts of opposite sign are never close by share; by difference they may be.
+        signed = ["sign"] if axis == "amount" and close.share is not None else []
+        rows, place = _blocked(rows, axis, close), [*part, *signed, "block"]
+        first = _nearest(rows, place, axis, near, own & no_doc, others)
+        return first.unionByName(_nearest(rows, place, axis, near, own & any_doc, others & no_doc))
 
     if close.share is not None:
         celled = magnitude.where(full).withColumn("cell", F.coalesce(close.cell(), F.lit(-(1 << 40))))
     else:
         celled = named.where(full).withColumn("sign", F.lit(0)).withColumn("cell", close.cell())
-    inside = _nearest(celled, [*part, "sign", "cell"], "day", days_close, no_doc, F.lit(True))
+    inside = _nearest(_blocked(celled, "day", close), [*part, "sign", "cell", "block"], "day", days_close, no_doc, F.lit(True))
     across = _across_cells(celled, part, close)
     by_day = pairs_of(named, "day", days_close, day_only, has_day)
     by_amount = pairs_of(named, "amount", close.amounts, amount_only, has_amount)
@@ -157,7 +182,7 @@ def links(nodes: DataFrame, close: Closeness) -> DataFrame:
     open_ended = _stars(named, part, bare & no_doc, F.lit(True)) \
         .unionByName(_stars(named, part, bare & any_doc, no_doc))
     out = by_document
-    for more in (inside, across, by_day, by_amount, mixed, open_ended):
+    for more in (copies, inside, across, by_day, by_amount, mixed, open_ended):
         out = out.unionByName(more)
     return out
 

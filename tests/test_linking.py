@@ -50,7 +50,7 @@ def random_nodes(seed, count, close, spread):
     nodes = []
     for at in range(count):
         base = D(rng.choice([100000, 100900, 101000, 102005, 103100, 0, -100500]))
-        amount = base + D(rng.randrange(0, 2000)) / 10 if close.share else D(rng.randrange(0, 60)) / 4 + 100
+        amount = base + D(rng.randrange(0, 2000)) / 10 if close.share else D(rng.randrange(-60, 90)) / 4
         nodes.append({
             "property_id": rng.choice([1, 2]), "node": f"n{at:04d}",
             "doc": rng.choice(["A1", "a1", "B2", "C3", "D4"]) if rng.random() < 0.35 else None,
