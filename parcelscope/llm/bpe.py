@@ -22,8 +22,8 @@ from parcelscope.llm.common import chunks, texts_of
 from parcelscope.llm.pretokenize import pieces, segments
 
 #: Code points worked on at once, and slices kept by a worker.
-CHUNK = 1 << 20
-CACHED = 400_000
+CHUNK = 1 << 19
+CACHED = 250_000
 #: Bytes from which a slice is merged on its own; the cost of a pair that forms no token.
 LONG = 64
 NEVER = 1 << 40
