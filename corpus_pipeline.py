@@ -1,13 +1,76 @@
-"""The corpus pipeline: one stage after the other over whole documents."""
+"""The corpus pipeline: language ID, near-duplicates, secrets, the mix, and token ids, one stage after the other.
+
+Every stage works on all rows its predecessor kept and returns the columns of ``documents``; the last returns token ids.
+Null texts, repeated rows and null ids are treated as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from functools import reduce
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parcelscope.llm import bagminhash, bpe, langid, mixing, secret_scan
+from parcelscope.llm.common import crc_class, small_batches
+from parcelscope.session import materialize
+
+#: Below this score no language claims a document.
+LEAST_SCORE = 0.25
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; ``und`` and those that no language claims go."""
+    small_batches(spark)
+    model = langid.fit(docs, F.coalesce(crc_class("doc_id", 4) != 2, F.lit(False)))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    found = langid.identify(row, model).where((F.col("language.lang_pred") != langid.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE))
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate class: the one with the smallest id (of a repeated id the first text); null ids stay."""
+    small_batches(spark)
+    kept = materialize(bagminhash.classes(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
+    first = again.withColumn("turn", F.row_number().over(order)).where("turn = 1").select(*docs.columns)
+    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked and ``n_chars`` counted anew."""
+    masked = secret_scan.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeated(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix its token ids, the byte at which each begins, their number and the hash of the decoded bytes."""
+    small_batches(spark)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, ranks), ranks)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("MinHash near-dedup", one_of_each),
+    ("secret scans", without_secrets),
+    ("mixing sources", mixed),
+    ("byte-level BPE", token_ids),
+]
+
+#: Language ID, signatures and token ids cannot be expressed in SQL; a test compares each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    return reduce(lambda rows, stage: stage[1](spark, rows, sf_dir), STAGES, docs)

@@ -9,6 +9,7 @@ table of (state, class) says where a token begins.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -24,14 +25,19 @@ START, LETTERS, NUMBERS, OTHERS, JOINING, BLANKS, LAST_OF, TWO_OF = range(8)
 STATES = 8
 #: White space of the pattern (fixed values: the Unicode property White_Space).
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Letters and numbers that Unicode 16 added (fixed values: block ranges).
+ADDED = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4),
+         (0x11380, 0x113FF), (0x116D0, 0x116FF), (0x11BC0, 0x11BFF), (0x13460, 0x143FF), (0x16100, 0x1613F), (0x16D40, 0x16D7F),
+         (0x1CC00, 0x1CCFF), (0x1E5D0, 0x1E5FF))
 SCAN_WIDTH = 512
 SEGMENT = 1 << 20
 
 
 @cache
 def code_point_classes() -> np.ndarray:
-    """The class of every code point; the properties come from the newest Unicode tables at hand."""
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    """The class of every code point by Unicode 16: what the interpreter's older tables hold, and the blocks added since."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000
+                    and (unicodedata.category(chr(c)) != "Cn" or any(a <= c <= b for a, b in ADDED)))
     classes = np.full(0x110000, OTHER, np.uint8)
     for kind, name in ((LETTER, "L"), (NUMBER, "N")):
         members = "".join(regex.findall(rf"\p{{{name}}}+", every))

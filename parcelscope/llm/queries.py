@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelscope.llm import bpe
-from parcelscope.llm.common import table
+from parcelscope.llm import bagminhash, bpe, langid, mixing, secret_scan
+from parcelscope.llm.common import crc_class, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,8 +19,33 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, BYTE_RANKS))
 
 
+def op3_bagminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.classes(table(spark, folder, "documents"))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_class("doc_id", 4) == 2, F.lit(False))
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_bagminhash_near_dedup": op3_bagminhash_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_secret_scan": op6_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.SQL,
+}
