@@ -23,6 +23,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows up to which a written table is sent to every executor; a larger one is joined by shuffling.
+BROADCAST_ROWS = 10_000
+
+
+def join_small(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join a written table on a column both have, null equal to null; it is broadcast if a count shows that it has few rows."""
+    own = small.withColumnRenamed(key, "joined_key")
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        own = F.broadcast(own)
+    return rows.join(own, F.col(key).eqNullSafe(F.col("joined_key")), how).drop("joined_key")
+
+
 def crc_class(doc_id: str, classes: int) -> Column:
     """crc32 of the id's decimal text, modulo ``classes``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % classes

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelscope.llm.common import join_small
 from parcelscope.session import materialize
 
 #: Weights of the sources by code point, repeating, and the most epochs (fixed values).
@@ -23,8 +24,6 @@ MOST = 3
 BUCKETS = 4096
 #: Characters that lower a document's quality weight, each by this much of its share of the text.
 MARKS, LOSS, LEAST = "#*$%&|<>0123456789", 4.0, 0.1
-#: Sources whose table is sent to every executor; more are joined by shuffling.
-BROADCAST_ROWS = 10_000
 
 
 def size(text: Column) -> Column:
@@ -82,7 +81,7 @@ def cuts(keyed: DataFrame) -> DataFrame:
     edge = reached.join(budget.select(F.col("source").alias("own"), "rest"), F.col("source").eqNullSafe(F.col("own"))) \
         .where("before <= rest AND rest < until").select("source", "bucket", "before", "rest")
     edge = materialize(edge, "mix-edge")
-    inside = _with_source(keyed.withColumn("bucket", _bucket(F.col("key"))), edge.withColumnRenamed("bucket", "edge")) \
+    inside = join_small(keyed.withColumn("bucket", _bucket(F.col("key"))), edge.withColumnRenamed("bucket", "edge"), "source") \
         .where("bucket = edge")
     tied = inside.groupBy("source", "edge", "before", "rest", "key").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("source").orderBy("key")
@@ -94,14 +93,6 @@ def cuts(keyed: DataFrame) -> DataFrame:
     return materialize(out.select("source", "source_size", "target", "epochs", "cut_bucket", "cut_key"), "mix-cuts")
 
 
-def _with_source(rows: DataFrame, small: DataFrame, source: str = "source") -> DataFrame:
-    """Join a written table with a row per source: broadcast if it has few rows, else shuffled."""
-    own = small.withColumnRenamed("source", "joined_source")
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        own = F.broadcast(own)
-    return rows.join(own, F.col(source).eqNullSafe(F.col("joined_source"))).drop("joined_source")
-
-
 def taken() -> Column:
     """Words taken of a document: its epochs, and once more if its key is below the cut."""
     chosen = (F.col("bucket") < F.coalesce("cut_bucket", F.lit(0))) | \
@@ -113,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, size, source_size, target, taken) of every row."""
     keyed = materialize(docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in _keyed(docs, id_col, text_col, source_col).items())),
                         "mix-keys")
-    decided = _with_source(keyed.withColumn("bucket", _bucket(F.col("key"))), cuts(keyed))
+    decided = join_small(keyed.withColumn("bucket", _bucket(F.col("key"))), cuts(keyed), "source")
     return decided.select(F.col("id").alias(id_col), "size", "source_size", "target", taken().cast("long").alias("taken"))
 
 
@@ -123,7 +114,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     parts = _keyed(docs, f"row.{id_col}", f"row.{text_col}", f"row.{source_col}")
     keyed = materialize(row.select(*(parts[n].alias(n) for n in ("source", "size", "key"))), "mix-keys")
     local = row.withColumns(parts).withColumn("bucket", _bucket(F.col("key")))
-    decided = _with_source(local, cuts(keyed))
+    decided = join_small(local, cuts(keyed), "source")
     times = F.when(F.col("size") > 0, (taken() / F.col("size")).cast("int")).otherwise(F.lit(0))
     copies = decided.withColumn("time", F.explode(F.array_repeat(F.lit(1), times)))
     return copies.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelscope.llm import bagminhash, bpe, langid, mixing, secret_scan
+from parcelscope.llm import backoff_lm, bagminhash, bpe, embeddings, host_quality, html_extract, langid, mixing, repair, secret_scan
 from parcelscope.llm.common import crc_class, table
+from parcelscope.session import checkpoint_dir
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,14 +41,46 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, folder, "documents")))
 
 
+def op2_sorted_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op7_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = backoff_lm.score(docs, F.coalesce(crc_class("doc_id", 5) != 1, F.lit(True)))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_repair_ids(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    repair.write(table(spark, folder, "documents"), path, BYTE_LIBRARY)
+    return repair.read(spark, path)
+
+
+def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return host_quality.judge(table(spark, folder, "documents"))
+
+
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_extract.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_sorted_projections": op2_sorted_projections,
     "op3_bagminhash_near_dedup": op3_bagminhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_backoff_lm": op7_backoff_lm,
+    "op8_repair_ids": op8_repair_ids,
+    "op9_host_quality": op9_host_quality,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_sorted_projections": embeddings.SQL,
     "op5_mixing": mixing.SQL,
+    "op9_host_quality": host_quality.SQL,
 }
