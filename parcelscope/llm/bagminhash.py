@@ -35,8 +35,9 @@ from parcelscope.session import materialize
 
 WORDS = 5
 SIMILAR = 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99994.
-BANDS, ROWS = 32, 6
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99985; one at 0.25, as of short
+#: documents with a common passage, with 0.0007.
+BANDS, ROWS = 48, 8
 SIZE = BANDS * ROWS
 #: An estimate this many standard deviations below the threshold rules a pair out (3 in 100,000 of those at the threshold).
 DEVIATIONS = 4
@@ -53,7 +54,7 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, docs: int) -> np.ndarray:
-    """(documents, SIZE) signature values as 32-bit hashes of the earliest points; rows of documents without shingles are 0."""
+    """(documents, SIZE) signature values as 16-bit hashes of the earliest points; rows of documents without shingles are 0."""
     weight = np.bincount(owner, count, docs)
     best = np.full(docs * SIZE, np.inf)
     bound = np.where(weight > 0, SIZE * (np.log(SIZE) + SPARE) / np.maximum(weight, 1), 0.0)
@@ -71,8 +72,8 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, docs:
         empty = np.isinf(best.reshape(docs, SIZE)).any(axis=1)
         left &= empty
         bound[left] *= 2
-    bits = mix64(best.view(np.uint64)) >> np.uint64(32)
-    return np.where(np.isinf(best), 0, bits).astype(np.uint32).reshape(docs, SIZE)
+    bits = mix64(best.view(np.uint64)) >> np.uint64(48)
+    return np.where(np.isinf(best), 0, bits).astype(np.uint16).reshape(docs, SIZE)
 
 
 def _points(best, owner, seed, weight, low, length, bound) -> None:
@@ -118,7 +119,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SIZE) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, SIZE) for s in (a, b))
     return pd.Series((x == y).mean(axis=1))
 
 
@@ -154,12 +155,12 @@ def _near_in_block(rows: pd.DataFrame) -> pd.DataFrame:
     low, high = rows["low"].iat[0], rows["high"].iat[0]
     one, two = rows[rows["block"] == low], rows[rows["block"] == high]
     out = []
-    x = np.frombuffer(b"".join(two["signature"]), np.uint32).reshape(-1, SIZE)
+    x = np.frombuffer(b"".join(two["signature"]), np.uint16).reshape(-1, SIZE)
     ids, groups = two["id"].to_numpy(), two["component"].to_numpy()
     for u, component, signature in zip(one["id"], one["component"], one["signature"], strict=True):
         other = np.flatnonzero((groups != component) & ((ids > u) | (low != high)))
         if len(other):
-            near = other[(x[other] == np.frombuffer(signature, np.uint32)).sum(axis=1) >= SURE_NO * SIZE]
+            near = other[(x[other] == np.frombuffer(signature, np.uint16)).sum(axis=1) >= SURE_NO * SIZE]
             out.extend((u, v) for v in ids[near].tolist())
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
@@ -174,7 +175,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = materialize(of_content.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v")), "copies")
     nodes = materialize(known.join(copies.select("content", F.col("node").alias("id")), ["content", "id"], "left_semi")
                         .groupBy("id").agg(F.min("signature").alias("signature")), "nodes")
-    bands = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", k * ROWS * 4 + 1, ROWS * 4)) for k in range(BANDS)))
+    bands = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", k * ROWS * 2 + 1, ROWS * 2)) for k in range(BANDS)))
     buckets = nodes.select("id", F.explode(bands).alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(buckets.join(heads, "bucket"), "buckets")
