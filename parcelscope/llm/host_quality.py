@@ -118,10 +118,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 SQL = r"""
 WITH tokens AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-placed AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS at FROM tokens),
-windows AS (SELECT doc_id, at, words[at] AS a, words[at + 1] AS b, words[at + 2] AS c FROM placed),
-repeated AS (SELECT doc_id, at FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
-inside AS (SELECT doc_id, count(DISTINCT at + k) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+placed AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM tokens),
+windows AS (SELECT doc_id, pos, words[pos] AS a, words[pos + 1] AS b, words[pos + 2] AS c FROM placed),
+repeated AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+inside AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 lines AS (
   SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS same
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM tokens) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
