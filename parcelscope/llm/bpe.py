@@ -12,6 +12,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +104,11 @@ class Merges(dict):
         self.ranks, self.pairs = ranks, PairTable(ranks)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
-    def add(self, slices: list[bytes]) -> None:
-        missing = {s for s in slices if s not in self}
+    def add(self, slices: set[bytes]) -> None:
+        missing = [s for s in slices if s not in self]
         if len(self) + len(missing) > CACHED:
             self.clear()
-            missing = set(slices)
+            missing = list(slices)
         short = []
         for s in missing:
             if len(s) > LONG:
@@ -182,7 +183,7 @@ def packed_ids(texts: list[str], known: dict[bytes, bytes]) -> list[bytes]:
     found: list[list[bytes]] = [[] for _ in texts]
     for a, b in chunks([len(p) + 1 for _, p in parts], CHUNK):
         cut = pieces([p for _, p in parts[a:b]])
-        known.add([s for own in cut for s in own])
+        known.add(set(chain.from_iterable(cut)))
         for (i, _), own in zip(parts[a:b], cut, strict=True):
             found[i].append(b"".join(map(known.__getitem__, own)))
     return [b"".join(x) for x in found]

@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelscope.llm.bpe import CACHED, packed_ids
+from parcelscope.llm.bpe import packed_ids
 from parcelscope.llm.common import BROADCAST_ROWS, size_of, texts_of
 
 MAGIC = b"RPG1"
@@ -35,15 +36,16 @@ HEADER = struct.Struct("<4sIIIII")
 END = 0
 #: Ids of a shard, pairs replaced side by side and rounds at most, and the least number of times a replaced pair occurs.
 SHARD_IDS = 1 << 20
-TOGETHER, ROUNDS, LEAST = 1024, 6, 32
-#: Buckets in which pairs are counted before the frequent ones are counted exactly.
-SIEVE_BITS = 20
+TOGETHER, ROUNDS, LEAST = 2048, 5, 32
+TABLE_BITS = 18
+#: Slices a worker keeps the ids of.
+KEPT = 900_000
 #: Bytes of the input's files per range of ids.
 RANGE_BYTES = 16 << 20
 
 
 class LibraryIds(dict):
-    """Slice to its ids by the tokenizers library, packed; at most ``CACHED`` are kept."""
+    """Slice to its ids by the tokenizers library, packed; at most ``KEPT`` are kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,17 +55,18 @@ class LibraryIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def add(self, slices: list[bytes]) -> None:
-        missing = {s for s in slices if s not in self}
-        if len(self) + len(missing) > CACHED:
+    def add(self, slices: set[bytes]) -> None:
+        missing = [s for s in slices if s not in self]
+        if len(self) + len(missing) > KEPT:
             self.clear()
-            missing = set(slices)
-        order = list(missing)
-        found = self.library.encode_batch([s.decode() for s in order], add_special_tokens=False)
+            missing = list(slices)
+        if not missing:
+            return
+        found = self.library.encode_batch_fast([s.decode() for s in missing], add_special_tokens=False)
         ids = [e.ids for e in found]
-        ends = (np.cumsum([len(i) for i in ids]) * 4).tolist()
-        packed = np.fromiter((x for own in ids for x in own), "<u4", ends[-1] // 4 if ends else 0).tobytes()
-        self.update((s, packed[a:b]) for s, a, b in zip(order, [0, *ends[:-1]], ends, strict=True))
+        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
+        packed = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        self.update((s, packed[a:b]) for s, a, b in zip(missing, [0, *ends[:-1]], ends, strict=True))
 
 
 @cache
@@ -71,44 +74,47 @@ def _library(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The most frequent pairs as left << 32 | right, counted exactly after a sieve of hashed counts."""
-    keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
-    counts = np.bincount(bucket, minlength=1 << SIEVE_BITS)
-    least = LEAST
-    if (counts >= LEAST).sum() > TOGETHER:
-        least = max(LEAST, int(np.partition(counts, -TOGETHER)[-TOGETHER]))
-    pairs, times = np.unique(keys[counts[bucket] >= least], return_counts=True)
-    pairs, times = pairs[times >= LEAST], times[times >= LEAST]
+def _frequent(keys: np.ndarray) -> np.ndarray:
+    """The most frequent keys, most frequent first, equal ones by value."""
+    ordered = np.sort(keys)
+    ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1)
+    times = np.diff(np.append(-1, ends))
+    often = times >= LEAST
+    pairs, times = ordered[ends[often]], times[often]
     return pairs[np.argsort(-times, kind="stable")[:TOGETHER]]
 
 
 def compress(ids: np.ndarray, documents: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, numbers of symbols per document, rules, expansion lengths); ``documents`` has the numbers of ids per document."""
-    symbols = ids.astype(np.int64)
-    owner = np.repeat(np.arange(len(documents)), documents)
+    half = 16 if first_rule + ROUNDS * TOGETHER <= 1 << 16 else 32
+    kind, factor = (np.uint32, 0x9E3779B1) if half == 16 else (np.uint64, 0x9E3779B97F4A7C15)
+    symbols = ids.astype(kind)
+    owner = np.repeat(np.arange(len(documents), dtype=np.int32), documents)
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     for _ in range(ROUNDS):
         inside = owner[:-1] == owner[1:]
-        chosen = _frequent(symbols[:-1][inside], symbols[1:][inside])
+        keys = symbols[:-1] << kind(half) | symbols[1:]
+        chosen = _frequent(keys[inside]) if inside.any() else keys[:0]
+        # A chosen pair has a place in a hash table; of two that meet, the more frequent one is replaced in this round.
+        bucket = (keys * kind(factor)) >> kind(2 * half - TABLE_BITS)
+        place = (chosen * kind(factor)) >> kind(2 * half - TABLE_BITS)
+        _, first = np.unique(place, return_index=True)
+        first.sort()
+        chosen, place = chosen[first], place[first]
         if not len(chosen):
             break
-        new = first_rule + len(rules) + np.arange(len(chosen))
-        own = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
-        size = np.where(own < first_rule, 1, np.append(lengths, 0)[np.minimum(np.maximum(own - first_rule, 0), len(lengths))]).sum(axis=1)
+        used, pair_at, name_at = np.zeros(1 << TABLE_BITS, bool), np.zeros(1 << TABLE_BITS, kind), np.zeros(1 << TABLE_BITS, kind)
+        used[place], pair_at[place] = True, chosen
+        name_at[place] = (first_rule + len(rules) + np.arange(len(chosen))).astype(kind)
+        own = np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], axis=1).astype(np.int64)
+        size = np.where(own < first_rule, 1, np.append(lengths, 0)[np.clip(own - first_rule, 0, len(lengths))]).sum(axis=1)
         rules, lengths = np.vstack([rules, own]), np.append(lengths, size)
-        order = np.argsort(chosen)
-        sorted_pairs, names = chosen[order], new[order]
-        keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
-        place = np.minimum(np.searchsorted(sorted_pairs, keys), len(chosen) - 1)
-        match = (sorted_pairs[place] == keys) & inside
         # Of pairs that overlap in a row, every second one is replaced, from the left.
-        at = np.flatnonzero(match)
+        at = np.flatnonzero((pair_at[bucket] == keys) & inside & used[bucket])
         begins = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)) if len(at) else at
         turn = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
         at = at[turn % 2 == 0]
-        symbols[at] = names[place[at]]
+        symbols[at] = name_at[bucket[at]]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, owner = symbols[keep], owner[keep]
@@ -136,18 +142,19 @@ class Shard:
 
         def take(kind: str, number: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(data, kind, number, at).astype(np.int64)
-            at += out.size * np.dtype(kind).itemsize
+            out = np.frombuffer(data, kind, number, at).astype(np.int64 if kind == "<u4" else np.int32)
+            at += number * np.dtype(kind).itemsize
             return out
 
         self.left, self.right, self.lengths = (take("<u4", rules) for _ in range(3))
+        self.left, self.right = self.left.astype(np.int32), self.right.astype(np.int32)
         self.first, self.numbers = take("<u4", documents), take("<u4", documents)
-        self.symbols = take(f"<u{width}", symbols)
+        self.symbols = take(f"<u{width}", symbols).astype(np.int32)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         while (rule := symbols >= self.first_rule).any():
             place = np.arange(len(symbols)) + np.cumsum(rule) - rule
-            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
+            out = np.empty(len(symbols) + int(rule.sum()), np.int32)
             which = symbols[rule] - self.first_rule
             out[place] = symbols
             out[place[rule]], out[place[rule] + 1] = self.left[which], self.right[which]
@@ -206,8 +213,9 @@ def write(docs: DataFrame, path: str, library_path: str, id_col: str = "doc_id",
 
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(docs) // RANGE_BYTES))
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = (F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    read.repartitionByRange(ranges, *order).sortWithinPartitions(*order) \
+    # Ranges by the id alone: the sample that finds them goes to the driver, and texts must not.
+    read.repartitionByRange(ranges, F.col("id").asc_nulls_last()) \
+        .sortWithinPartitions(F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first()) \
         .mapInArrow(shards, f"range int, shard int, ids array<{kind}>, n_ids long, data binary").write.parquet(path)
 
 
