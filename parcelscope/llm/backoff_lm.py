@@ -29,16 +29,17 @@ from parcelscope.session import materialize
 #: Weight of the unigram model in a state, in tokens.
 MASS = 20.0
 #: Bytes of the input's files per chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 19
 #: Tokens no text can hold: they contain white space.
 START, END = b"\t", b"\n"
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
-    """The tokens of a chunk's texts by number, and its distinct unigrams and bigrams in the order of their hashes."""
+    """The tokens of a chunk's texts by number; its distinct unigrams and bigrams in the order of their hashes, with the numbers of
+    times that the learned texts hold them."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], learned: np.ndarray):
         number: dict[bytes, int] = {START: 0, END: 1}
         words = [t.encode().lower().split() for t in texts]  # bytes: ASCII letters and the six white characters only
         self.lengths = np.array([len(w) + 1 for w in words], np.int64)
@@ -51,22 +52,15 @@ class Grams:
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[np.cumsum(self.lengths) - self.lengths] = 0
-        self.pairs = before * self.size + self.ids
-        self.distinct = np.unique(self.pairs)
-        first, second = np.divmod(self.distinct, self.size)
+        # One sort gives the distinct bigrams and how often the learned texts hold each.
+        ordered = np.sort((before * self.size + self.ids) * 2 + np.repeat(learned, self.lengths))
+        begins = np.flatnonzero(np.append(True, ordered[1:] >> 1 != ordered[:-1] >> 1))
+        distinct, times = ordered[begins] >> 1, np.add.reduceat(ordered & 1, begins)
+        first, second = np.divmod(distinct, self.size)
         pair_hashes = mix64(mix64(hashes[first]) * FOLD + hashes[second])
         order = np.argsort(pair_hashes)
-        self.distinct, self.pair_hashes = self.distinct[order], pair_hashes[order]
-
-    def counts(self, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often the learned texts hold each unigram and each bigram, in the order of the hashes."""
-        token = np.repeat(learned, self.lengths)
-        words = np.bincount(self.ids[token], minlength=self.size)[self.words]
-        seen, times = np.unique(self.pairs[token], return_counts=True)
-        order = np.argsort(self.distinct)
-        pairs = np.zeros(len(self.distinct), np.int64)
-        pairs[order[np.searchsorted(self.distinct, seen, sorter=order)]] = times
-        return words, pairs
+        self.pairs, self.pair_counts, self.pair_hashes = distinct[order], times[order], pair_hashes[order]
+        self.word_counts = np.bincount(self.ids[np.repeat(learned, self.lengths)], minlength=self.size)[self.words]
 
 
 def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -76,7 +70,7 @@ def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """A byte per count, and four more bytes for each of 255 or above; counts from 2**32 on stay as they can be at most that."""
+    """A byte per count, and eight more bytes for each of 255 or above."""
     large = counts[counts >= 255].astype("<u8")
     return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
 
@@ -93,8 +87,8 @@ SUMS = "chunk int, part int, word_counts binary, pair_counts binary, tokens long
 
 def _send(parts: int):
     def send(rows: pa.Table) -> pa.Table:
-        grams = Grams(texts_of(rows["text"]))
-        words, pairs = grams.counts(rows["learned"].to_numpy())
+        grams = Grams(texts_of(rows["text"]), rows["learned"].to_numpy())
+        words, pairs = grams.word_counts, grams.pair_counts
         w, p = _ranges(grams.word_hashes, parts).tolist(), _ranges(grams.pair_hashes, parts).tolist()
         chunk = rows["chunk"][0].as_py()
         out = [(k, chunk, grams.word_hashes[a:b].tobytes(), _pack(words[a:b]), grams.pair_hashes[c:d].tobytes(), _pack(pairs[c:d]))
@@ -160,7 +154,7 @@ def _score(tokens: int, types: int, kind: pa.DataType):
     def score(rows: pa.Table, sums: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=list(names))
-        grams = Grams(texts_of(rows["text"]))
+        grams = Grams(texts_of(rows["text"]), rows["learned"].to_numpy())
         of_part = {p: (w, c) for p, w, c in zip(*(sums[n].to_pylist() for n in ("part", "word_counts", "pair_counts")), strict=True)}
         parts = rows["parts"][0].as_py()
         totals = []
@@ -170,7 +164,7 @@ def _score(tokens: int, types: int, kind: pa.DataType):
                                           for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]))
         word_counts = np.empty(grams.size, np.int64)
         word_counts[grams.words] = totals[0]
-        automaton = Automaton(grams.size, grams.distinct, totals[1], word_counts, tokens, types)
+        automaton = Automaton(grams.size, grams.pairs, totals[1], word_counts, tokens, types)
         ends = np.cumsum(grams.lengths)
         starts = ends - grams.lengths
         base = np.add.reduceat(automaton.root[grams.ids], starts)
