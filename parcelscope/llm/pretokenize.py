@@ -29,6 +29,9 @@ WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 ADDED = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4),
          (0x11380, 0x113FF), (0x116D0, 0x116FF), (0x11BC0, 0x11BFF), (0x13460, 0x143FF), (0x16100, 0x1613F), (0x16D40, 0x16D7F),
          (0x1CC00, 0x1CCFF), (0x1E5D0, 0x1E5FF))
+#: The class of a code point by 2 * its own class + whether a visible one follows.
+FOLLOWED = np.array([LETTER, LETTER, NUMBER, NUMBER, OTHER, OTHER, BLANK_INSIDE, SPACE_LAST, BLANK_INSIDE, BLANK_LAST,
+                     0, 0, 0, 0, 0, 0, SEPARATOR, SEPARATOR], np.uint8)
 SCAN_WIDTH = 512
 SEGMENT = 1 << 20
 
@@ -112,12 +115,8 @@ def states_before(classes: np.ndarray) -> np.ndarray:
 def classify(points: np.ndarray, separators: np.ndarray) -> np.ndarray:
     base = code_point_classes()[points]
     base[separators] = SEPARATOR
-    following = np.append(base[1:], np.uint8(SEPARATOR))
-    visible = following <= OTHER
-    space, blank = base == SPACE, base == BLANK
-    classes = base.copy()
-    classes[space | blank] = BLANK_INSIDE
-    classes[space & visible], classes[blank & visible] = SPACE_LAST, BLANK_LAST
+    visible = np.append(base[1:] <= OTHER, False)
+    classes = FOLLOWED[base * np.uint8(2) + visible]
     quotes = np.flatnonzero(points == ord("'"))
     quotes = quotes[classes[quotes] == OTHER]
     if len(quotes):

@@ -36,10 +36,10 @@ HEADER = struct.Struct("<4sIIIII")
 END = 0
 #: Ids of a shard, pairs replaced side by side and rounds at most, and the least number of times a replaced pair occurs.
 SHARD_IDS = 1 << 20
-TOGETHER, ROUNDS, LEAST = 2048, 5, 32
+TOGETHER, ROUNDS, LEAST = 2048, 4, 32
 TABLE_BITS = 18
 #: Slices a worker keeps the ids of.
-KEPT = 900_000
+KEPT = 1_200_000
 #: Bytes of the input's files per range of ids.
 RANGE_BYTES = 16 << 20
 
