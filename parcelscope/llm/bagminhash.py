@@ -39,8 +39,8 @@ SIMILAR = 0.8
 #: documents with a common passage, with 0.0007.
 BANDS, ROWS = 48, 8
 SIZE = BANDS * ROWS
-#: An estimate this many standard deviations below the threshold rules a pair out (3 in 100,000 of those at the threshold).
-DEVIATIONS = 4
+#: An estimate this many standard deviations below the threshold rules a pair out (2 in 10,000 of those at the threshold).
+DEVIATIONS = 3.5
 SURE_NO = SIMILAR - DEVIATIONS * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
 CHUNK, DOCS = 1 << 20, 2048
 #: Documents of a bucket compared by a join, and in one block of a larger bucket.
@@ -150,19 +150,48 @@ def _blocks_of(rows: DataFrame, size: Column) -> DataFrame:
         .select(*rows.columns, "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
 
-def _near_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components with a near estimate; one of each block, or both of the one block."""
-    low, high = rows["low"].iat[0], rows["high"].iat[0]
-    one, two = rows[rows["block"] == low], rows[rows["block"] == high]
-    out = []
-    x = np.frombuffer(b"".join(two["signature"]), np.uint16).reshape(-1, SIZE)
-    ids, groups = two["id"].to_numpy(), two["component"].to_numpy()
-    for u, component, signature in zip(one["id"], one["component"], one["signature"], strict=True):
-        other = np.flatnonzero((groups != component) & ((ids > u) | (low != high)))
-        if len(other):
-            near = other[(x[other] == np.frombuffer(signature, np.uint16)).sum(axis=1) >= SURE_NO * SIZE]
-            out.extend((u, v) for v in ids[near].tolist())
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+def _near_in_block(best: bool):
+    """Pairs of different components with a near estimate, one of each block or both of the one block: for every two components
+    the nearest pair, or all of them. A pair belongs to the first band it shares, so no other bucket gives it again."""
+    def near_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high, band = rows["low"].iat[0], rows["high"].iat[0], rows["band"].iat[0]
+        one, two = rows[rows["block"] == low], rows[rows["block"] == high]
+        nearest: dict[tuple[int, int], tuple[int, int, int]] = {}
+        out = []
+        x = np.frombuffer(b"".join(two["signature"]), np.uint16).reshape(-1, SIZE)
+        ids, groups = two["id"].to_numpy(), two["component"].to_numpy()
+        for u, component, signature in zip(one["id"], one["component"], one["signature"], strict=True):
+            other = np.flatnonzero((groups != component) & ((ids > u) | (low != high)))
+            if not len(other):
+                continue
+            same = x[other] == np.frombuffer(signature, np.uint16)
+            equal = same.sum(axis=1)
+            near = equal >= SURE_NO * SIZE
+            near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for v, theirs, n in zip(ids[other[near]].tolist(), groups[other[near]].tolist(), equal[near].tolist(), strict=True):
+                if not best:
+                    out.append((u, v))
+                elif n > nearest.get(pair := (min(component, theirs), max(component, theirs)), (-1,))[0]:
+                    nearest[pair] = (n, u, v)
+        out.extend((u, v) for _, u, v in nearest.values())
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return near_pairs
+
+
+def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, bucket, band, component, size) of the buckets that hold more than one component of the links."""
+    placed = materialize(shared.select("id", "bucket", "band").join(components(links).withColumnRenamed("node", "id"), "id", "left")
+                         .select("id", "bucket", "band", F.coalesce("component", "id").alias("component")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")) \
+        .where("a <> b").select("bucket", "size")
+    return placed.join(mixed, "bucket")
+
+
+def _in_blocks(open_rows: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    large = _blocks_of(open_rows.where(F.col("size") > SMALL).join(nodes, "id"), F.col("size"))
+    found = large.groupBy("bucket", "low", "high").applyInPandas(_near_in_block(best), "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +205,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = materialize(known.join(copies.select("content", F.col("node").alias("id")), ["content", "id"], "left_semi")
                         .groupBy("id").agg(F.min("signature").alias("signature")), "nodes")
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", k * ROWS * 2 + 1, ROWS * 2)) for k in range(BANDS)))
-    buckets = nodes.select("id", F.explode(bands).alias("bucket"))
+    buckets = nodes.select("id", F.posexplode(bands).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(buckets.join(heads, "bucket"), "buckets")
     first = shared.where("id <> head").select("id", "head").distinct()
@@ -185,27 +214,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("id", "head", _estimate("signature", "other").alias("estimate")).where(F.col("estimate") >= SURE_NO)
     best = rated.groupBy("id").agg(F.max(F.struct("estimate", (-F.col("head")).alias("minus"))).alias("best")) \
         .select(F.col("id").alias("u"), (-F.col("best.minus")).alias("v"))
-    links = materialize(_verified(materialize(best, "best"), texts), "links")
-    grouped = components(links)
-    placed = materialize(shared.select("id", "bucket").join(grouped.withColumnRenamed("node", "id"), "id", "left")
-                         .select("id", "bucket", F.coalesce("component", "id").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")) \
-        .where("a <> b").select("bucket", "size")
-    open_rows = placed.join(mixed, "bucket")
+    best = materialize(best, "best")
+    links = materialize(_verified(best, texts), "links")
+    tested = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    open_rows = _open(shared, links)
     small = open_rows.where(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("id").alias("v"), F.col("component").alias("theirs"))
     few = small.join(other, "bucket").where("id < v AND component <> theirs").select(F.col("id").alias("u"), "v").distinct()
     few = few.join(nodes.select(F.col("id").alias("u"), F.col("signature").alias("x")), "u") \
         .join(nodes.select(F.col("id").alias("v"), F.col("signature").alias("y")), "v") \
         .where(_estimate("x", "y") >= SURE_NO).select("u", "v")
-    large = _blocks_of(open_rows.where(F.col("size") > SMALL).join(nodes, "id"), F.col("size"))
-    many = large.groupBy("bucket", "low", "high").applyInPandas(_near_in_block, "u long, v long") \
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = materialize(few.unionByName(many).distinct(), "rest")
-    tested = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialize(_verified(rest.join(tested, ["u", "v"], "left_anti"), texts), "links")
+    # In large buckets first the nearest pair of every two components; most of them become one by it. Then all pairs that are left.
+    for pairs in (lambda: few.unionByName(_in_blocks(open_rows, nodes, True)),
+                  lambda: _in_blocks(_open(shared.where(F.col("size") > SMALL), links), nodes, False)):
+        fresh = materialize(pairs().distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+        links = materialize(links.unionByName(_verified(fresh, texts)), "links")
+        tested = tested.unionByName(fresh)
     # Representatives of copies and links between representatives together.
-    all_links = links.unionByName(more).unionByName(same)
+    all_links = links.unionByName(same)
     found = components(all_links)
     rows = sketched.select("id").join(found.withColumnRenamed("node", "id"), "id", "left")
     smallest = F.coalesce("component", "id")
