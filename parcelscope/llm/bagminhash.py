@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelscope.llm.common import chunks, mix64, texts_of
+from parcelscope.llm.common import chunks, held, mix64, texts_of
 from parcelscope.llm.shingles import WordHashes, overlaps, shingles
 from parcelscope.operators.linking import components
 from parcelscope.session import materialize
@@ -96,7 +96,7 @@ def _points(best, owner, seed, weight, low, length, bound) -> None:
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, content, signature): a hash of the multiset, and the signature; both null for documents without words."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = held("words", WordHashes)
         for batch in rows:
             texts = texts_of(batch.column(1))
             for a, b in ((i, j) for x, y in chunks([len(t) + 1 for t in texts], CHUNK) for i in range(x, y, DOCS)
@@ -125,7 +125,7 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    known, out = WordHashes(), []
+    known, out = held("words", WordHashes), []
     first, second = list(a), list(b)
     for i, j in chunks([len(x) + len(y) for x, y in zip(first, second, strict=True)], CHUNK):
         least, greatest = overlaps(first[i:j], second[i:j], WORDS, known)

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import chunks, texts_of
+from parcelscope.llm.common import chunks, held, texts_of
 from parcelscope.llm.pretokenize import pieces, segments
 
 #: Code points worked on at once, and slices kept by a worker.
 CHUNK = 1 << 19
-CACHED = 250_000
+CACHED = 200_000
 #: Bytes from which a slice is merged on its own; the cost of a pair that forms no token.
 LONG = 64
 NEVER = 1 << 40
@@ -61,13 +61,13 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 
 class PairTable:
-    """Rank of the token that two neighbouring ids form, for arrays of pairs: open addressing at a tenth of the places."""
+    """Rank of the token that two neighbouring ids form, for arrays of pairs: open addressing at a fifth of the places."""
 
     def __init__(self, ranks: dict[bytes, int]):
         split = [(ranks[a] << 32 | ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token))
                  if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
         keys, values = np.array(split, np.int64).reshape(-1, 2).T
-        self.bits = max(4, int(len(keys) * 10).bit_length())
+        self.bits = max(4, int(len(keys) * 3).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
         at, left = self._place(keys), np.arange(len(keys))
         while len(left):
@@ -163,9 +163,8 @@ class Merges(dict):
         return [packed[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-@cache
 def _merges(path: str) -> Merges:
-    return Merges(read_ranks(path))
+    return held(("merges", path), lambda: Merges(read_ranks(path)))
 
 
 @cache

@@ -40,6 +40,17 @@ def crc_class(doc_id: str, classes: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % classes
 
 
+_held: dict = {}
+
+
+def held(name: object, make):
+    """A worker's tables of one operator; those of another, which a reused worker may still hold, are given up first."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

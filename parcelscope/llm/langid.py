@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import chunks, texts_of
+from parcelscope.llm.common import chunks, held, texts_of
 from parcelscope.llm.pretokenize import LETTER, code_point_classes
 
 UNKNOWN = "und"
@@ -143,9 +143,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def language(texts):
         import pandas as pd
 
+        held("language", bool)  # gives up another operator's tables
+        model = shared.value
         every, out = [t or "" for t in texts], []
         for a, b in chunks([max(len(t), CHUNK // DOCS) for t in every], CHUNK):
-            out.extend(predict(shared.value, every[a:b]))
+            out.extend(predict(model, every[a:b]))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return docs.withColumn("language", language(F.col(text_col)))

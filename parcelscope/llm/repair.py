@@ -19,7 +19,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelscope.llm.bpe import packed_ids
-from parcelscope.llm.common import BROADCAST_ROWS, size_of, texts_of
+from parcelscope.llm.common import BROADCAST_ROWS, held, size_of, texts_of
 
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIIII")
@@ -69,9 +68,8 @@ class LibraryIds(dict):
         self.update((s, packed[a:b]) for s, a, b in zip(missing, [0, *ends[:-1]], ends, strict=True))
 
 
-@cache
 def _library(path: str) -> LibraryIds:
-    return LibraryIds(path)
+    return held(("library", path), lambda: LibraryIds(path))
 
 
 def _frequent(keys: np.ndarray) -> np.ndarray:

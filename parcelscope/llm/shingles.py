@@ -11,7 +11,7 @@ from parcelscope.llm.common import mix64
 
 #: Bits of a shingle's hash; the rest of a sort key holds the text's number.
 BITS = 44
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
