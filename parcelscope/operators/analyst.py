@@ -29,6 +29,25 @@ TERM_LABELS = {
     "distress_other_involuntary_liens": ("Distress: other involuntary liens", None, None, None),
     "distress_taxes_delinquent_2yr": ("Distress: delinquent taxes", None, None, None),
     "distress_absentee": ("Distress: absentee owner", None, None, None),
+    "distress_owned_over_15yr": ("Distress: long ownership", None, None, None),
+    "distress_listing_expired": ("Distress: failed listings", None, None, None),
+    "distress_high_equity_bonus": ("Distress: high-equity bonus", None, None, None),
+    "dcs_field_coverage": ("Data Confidence: field coverage", None, None, None),
+    "dcs_corroboration": ("Data Confidence: corroboration", None, None, None),
+    "dcs_recency": ("Data Confidence: report recency", None, None, None),
+    "dcs_conflict_free": ("Data Confidence: conflict-freeness", None, None, None),
+    "dcs_verification": ("Data Confidence: verification rate", None, None, None),
+    "dcs_extraction_quality": ("Data Confidence: extraction quality", None, None, None),
+    "risk_liens": ("Risk: open lien count", None, None, None),
+    "risk_bankruptcy": ("Risk: active bankruptcy", None, None, None),
+    "risk_foreclosure_stage": ("Risk: near-sale foreclosure stage", None, None, None),
+    "risk_owner_only_liens_over_10k": ("Risk: large owner-only liens", None, None, None),
+    "risk_title_flags": ("Risk: title flags", None, None, None),
+    "risk_owner_occupied": ("Risk: owner-occupied", None, None, None),
+    "risk_hoa_arrears": ("Risk: HOA arrears", None, None, None),
+    "risk_material_conflicts": ("Risk: material conflicts", None, None, None),
+    "risk_low_dcs": ("Risk: low data confidence", None, None, None),
+    "risk_federal_tax_lien": ("Risk: federal tax lien", None, None, None),
 }
 
 
@@ -69,7 +88,7 @@ def pillar_deltas(pairs: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _points(column: str) -> str:
-    return f"CAST(CAST(bround({column}, 2) AS DECIMAL(18,2)) AS STRING)"
+    return f"CAST(CAST(bround({column}, 1) AS DECIMAL(18,1)) AS STRING)"
 
 
 def explanations(pairs: DataFrame, scores: DataFrame, top: int = TOP_DRIVERS) -> DataFrame:
@@ -138,23 +157,32 @@ def key_risks(components: str = "components", gates: str = "gates_applied") -> C
 def comp_sets(sets: DataFrame, underwriting: DataFrame, scores: DataFrame, strategies: DataFrame) -> DataFrame:
     """Metric rows of sets (set_id, property_id) of two to four properties, the best known cells marked.
 
-    A set of another size is left out; a metric needs two known values to have a winner, and ties all win.
+    A metric needs two known values to have a winner, and ties all win. The best strategy and the key risks are ``text``. A set of
+    another size is refused: one row with the metric ``refused`` and the number of its properties.
     """
-    sized = sets.groupBy("set_id").agg(F.countDistinct("property_id").alias("n")).where(f"n BETWEEN {MIN_SET} AND {MAX_SET}")
+    numbers = sets.groupBy("set_id").agg(F.countDistinct("property_id").alias("n"))
+    sized = numbers.where(f"n BETWEEN {MIN_SET} AND {MAX_SET}")
+    refused = numbers.where(f"n NOT BETWEEN {MIN_SET} AND {MAX_SET}")
     members = sets.distinct().join(sized.select("set_id"), "set_id", "left_semi")
     expected = underwriting.where("scenario = 'expected'").select("property_id", "v_expected", "confirmed", "adjusted_equity")
-    scored = scores.select("property_id", "overall", "fos", "distress", "data_confidence", "risk", "recommended_strategy")
+    scored = scores.select("property_id", "overall", "fos", "distress", "data_confidence", "risk", "recommended_strategy",
+                           F.array_join(key_risks(), ", ").alias("risk_notes"))
     viable = strategies.where("scenario = 'expected' AND status = 'viable'").join(
         scores.select("property_id", "recommended_strategy"), "property_id", "left")
     order = "array_position(array('cash', 'flip', 'wholesale', 'rental', 'subject_to', 'foreclosure'), strategy)"
     best = viable.groupBy("property_id").agg(F.expr(
         f"min_by(struct(strategy, mao, profit, roi), struct(NOT strategy <=> recommended_strategy, {order})) AS b")) \
-        .select("property_id", F.col("b.mao").alias("mao"), F.col("b.profit").alias("profit"), F.col("b.roi").alias("roi"))
+        .select("property_id", F.col("b.strategy").alias("best_strategy"), F.col("b.mao").alias("mao"), F.col("b.profit").alias("profit"), F.col("b.roi").alias("roi"))
     wide = members.join(expected, "property_id", "left").join(scored, "property_id", "left").join(best, "property_id", "left")
     cells = ", ".join(f"struct('{key}' AS metric, CAST({column} AS DECIMAL(20,6)) AS value, '{side}' AS side)"
                       for key, column, side in METRICS)
     rows = wide.selectExpr("set_id", "property_id", f"inline(array({cells}))")
     ends = rows.groupBy("set_id", "metric").agg(F.count("value").alias("known"), F.max("value").alias("most"), F.min("value").alias("least"))
-    return rows.join(ends, ["set_id", "metric"]).selectExpr(
+    cells = rows.join(ends, ["set_id", "metric"]).selectExpr(
         "set_id", "metric", "property_id", "value",
-        "coalesce(known >= 2 AND value = CASE side WHEN 'max' THEN most ELSE least END, false) AS is_winner")
+        "coalesce(known >= 2 AND value = CASE side WHEN 'max' THEN most ELSE least END, false) AS is_winner", "CAST(NULL AS STRING) AS text")
+    texts = wide.selectExpr("set_id", "property_id", """inline(array(struct('best_strategy' AS metric, best_strategy AS text),
+        struct('key_risks' AS metric, risk_notes AS text)))""")
+    return cells.unionByName(texts.selectExpr("set_id", "metric", "property_id", "CAST(NULL AS DECIMAL(20,6)) AS value", "false AS is_winner", "text")) \
+        .unionByName(refused.selectExpr("set_id", "'refused' AS metric", "NULL AS property_id", "CAST(n AS DECIMAL(20,6)) AS value",
+                                        "false AS is_winner", "CAST(NULL AS STRING) AS text"))

@@ -12,7 +12,6 @@ from parcelscope.functions.sql import text
 from parcelscope.functions.text import token_estimate
 from parcelscope.operators.ranking import running_totals
 
-MAX_SIGNATURES = 500
 PAGE_BLOCK = 4096
 
 
@@ -88,8 +87,8 @@ def classify(pages: DataFrame, signatures: Sequence[Signature] = DEFAULT_SIGNATU
     Signatures are constants of the plan. A page yields only the signatures that hit it, so what is exchanged grows
     with the hits, and hits are counted before the exchange. A file name counts as part of page one.
     """
-    if not 1 <= len(signatures) <= MAX_SIGNATURES:
-        raise ValueError(f"between 1 and {MAX_SIGNATURES} signatures are supported")
+    if not signatures:
+        raise ValueError("at least one signature is needed")
     if names is not None:
         pages = pages.join(names.select("report_id", "file_name"), "report_id", "left").withColumn(
             "text", F.expr("CASE WHEN page_number = 1 AND file_name <> '' THEN concat(file_name, '\\n', text) ELSE text END"))

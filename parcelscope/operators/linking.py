@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from parcelscope.session import materialize
 
-MAX_ROUNDS = 60
 BLOCK = 32
 
 
@@ -202,9 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     current = materialize(ordered(edges), "links")
     mark = fingerprint(current)
-    for _ in range(MAX_ROUNDS):
-        if not mark[0]:
-            break
+    while mark[0]:  # every round that changes a link shortens a path to the smallest node, so the rounds end
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -217,7 +214,5 @@ def components(edges: DataFrame) -> DataFrame:
         if following == mark:
             break
         mark = following
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     heads = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads).distinct()

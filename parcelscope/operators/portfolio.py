@@ -11,6 +11,7 @@ from decimal import Decimal, InvalidOperation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelscope.functions.sql import lookup
 from parcelscope.operators.ranking import latest_scores, latest_snapshot
 from parcelscope.schemas import Portfolio
 
@@ -267,10 +268,18 @@ def duplicate_keys(properties: DataFrame, column: str) -> DataFrame:
 
 # --- sheets and views -----------------------------------------------------------
 
+# Labels of tracked figures that differ from their names.
+FIGURE_LABELS = {
+    "purchase_price": "purchase price", "annual_taxes": "annual taxes", "assessed_value": "assessed value",
+    "delinquent_amount": "delinquent taxes", "hoa_monthly_dues": "HOA monthly dues", "hoa_arrears": "HOA arrears",
+    "rent_estimate": "rent estimate",
+}
+
+
 def estimated_figures(p: Portfolio) -> DataFrame:
     """Label of every figure that is estimated, one row each."""
     core = p.core.selectExpr("property_id", "explode(map_filter(tracked, (k, v) -> v.is_estimated)) AS (label, t)") \
-                 .select("property_id", "label")
+                 .select("property_id", F.expr(f"coalesce({lookup(FIGURE_LABELS, 'label', 'STRING')}, label)").alias("label"))
 
     def labels(df: DataFrame, condition: str, label: str) -> DataFrame:
         return df.where(condition).selectExpr("property_id", f"{label} AS label")
