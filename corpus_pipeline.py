@@ -55,7 +55,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix its token ids, the byte at which each begins, their number and the hash of the decoded bytes."""
     small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, ranks), ranks)
+    decoded = bpe.encode(docs, ranks, decoded=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -42,7 +42,7 @@ SIZE = BANDS * ROWS
 #: An estimate this many standard deviations below the threshold rules a pair out (2 in 10,000 of those at the threshold).
 DEVIATIONS = 3.5
 SURE_NO = SIMILAR - DEVIATIONS * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
-CHUNK, DOCS = 1 << 20, 2048
+CHUNK, DOCS = 1 << 19, 1024
 #: Documents of a bucket compared by a join, and in one block of a larger bucket.
 SMALL, BLOCK = 16, 1024
 #: The first bound on times leaves a component empty in about 1 of 50 documents, which are then done again.

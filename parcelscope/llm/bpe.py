@@ -23,7 +23,7 @@ from parcelscope.llm.common import chunks, held, texts_of
 from parcelscope.llm.pretokenize import pieces, segments
 
 #: Code points worked on at once, and slices kept by a worker.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 CACHED = 200_000
 #: Bytes from which a slice is merged on its own; the cost of a pair that forms no token.
 LONG = 64
@@ -194,26 +194,36 @@ def id_lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, offsets array<int>): token ids and the byte at which each begins."""
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>, offsets array<int>): token ids and the byte at which each begins.
+
+    With ``decoded`` also the bytes that the ids decode to, by the same worker: a task then needs one Python process, not two.
+    """
     kind = docs.schema[id_col].dataType
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lengths = _merges(ranks_path), _vocabulary(ranks_path)[1]
         for batch in rows:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
                 ids = id_lists(packed_ids(texts_of(part.column(1)), known))
                 size = lengths[ids.values.to_numpy()]
                 ends = np.cumsum(size)
                 first = ids.offsets.to_numpy()
                 before = np.append(0, ends)[first]
                 starts = (ends - size - np.repeat(before[:-1], np.diff(first))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.ListArray.from_arrays(ids.offsets, pa.array(starts))],
-                                                 ["id", "ids", "offsets"])
+                columns = [part.column(0), ids, pa.ListArray.from_arrays(ids.offsets, pa.array(starts))]
+                if decoded:
+                    columns.append(pa.array([_bytes(ranks_path, own.values) for own in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "offsets", "decoded"][:len(columns)])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(batches, f"id {kind.simpleString()}, ids array<int>, offsets array<int>").withColumnRenamed("id", id_col)
+        .mapInArrow(batches, f"id {kind.simpleString()}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded) \
+        .withColumnRenamed("id", id_col)
+
+
+def _bytes(ranks_path: str, ids: pa.Array) -> bytes:
+    return b"".join(map(_vocabulary(ranks_path)[0].__getitem__, ids.to_numpy().tolist()))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

@@ -18,8 +18,7 @@ BYTE_LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents"), BYTE_RANKS)
-    return bpe.digests(bpe.decode(encoded, BYTE_RANKS))
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), BYTE_RANKS, decoded=True))
 
 
 def op3_bagminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
