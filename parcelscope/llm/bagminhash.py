@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelscope.llm.common import chunks, held, mix64, texts_of
+from parcelscope.llm.common import chunks, held, mix64, rest, texts_of
 from parcelscope.llm.shingles import WordHashes, overlaps, shingles
 from parcelscope.operators.linking import components
 from parcelscope.session import materialize
@@ -112,7 +112,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     ["id", "content", "signature"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batches, "id long, content binary, signature binary")
+    return rows.mapInArrow(lambda part: rest(batches(part)), "id long, content binary, signature binary")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import chunks, held, texts_of
+from parcelscope.llm.common import chunks, held, rest, texts_of
 from parcelscope.llm.pretokenize import pieces, segments
 
 #: Code points worked on at once, and slices kept by a worker.
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "offsets", "decoded"][:len(columns)])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(batches, f"id {kind.simpleString()}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded) \
+        .mapInArrow(lambda rows: rest(batches(rows)), f"id {kind.simpleString()}, ids array<int>, offsets array<int>" + ", decoded binary" * decoded) \
         .withColumnRenamed("id", id_col)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import chunks, held, texts_of
+from parcelscope.llm.common import chunks, held, rest, texts_of
 from parcelscope.llm.pretokenize import LETTER, code_point_classes
 
 UNKNOWN = "und"
@@ -103,7 +103,7 @@ def _sample(labelled: DataFrame) -> list[tuple[str, int, bytes]]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                                                   pa.array(packed, pa.binary())], ["lang", "mark", "bits"])
 
-    found = few.select("lang", "mark", "text").mapInArrow(bits, "lang string, mark long, bits binary").collect()
+    found = few.select("lang", "mark", "text").mapInArrow(lambda part: rest(bits(part)), "lang string, mark long, bits binary").collect()
     return sorted((r.lang, r.mark, bytes(r.bits)) for r in found)
 
 
