@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parcelscope.functions.sql import lookup, number
 from parcelscope.operators.assumptions import DEFAULT_SET
+from parcelscope.operators.ranking import running_totals
 
 MIN_SAMPLE = 5
 WEIGHT_STEP = "0.05"
@@ -75,10 +76,10 @@ def holding_period(deals: DataFrame, current: Mapping = DEFAULT_SET, min_sample:
 
 
 def _average_ranks(counts: DataFrame, value: str, name: str) -> DataFrame:
-    """Average rank of every distinct value. Scores have four places on 0..100, so there are about a million values at most."""
+    """Average rank of every distinct value, from running totals over ranges of the values."""
     totals = counts.groupBy(value).agg(F.sum("n").alias("n"))
-    before = Window.partitionBy(F.lit(1)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(value, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0).alias(name))
+    ranked = running_totals(totals, [], [F.col(value)], "n", "up_to")
+    return ranked.select(value, (F.col("up_to") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
 
 
 def gut_correlation(deals: DataFrame, min_sample: int = MIN_SAMPLE) -> DataFrame:

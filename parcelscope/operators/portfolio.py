@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelscope.functions.sql import lookup
-from parcelscope.operators.ranking import latest_scores, latest_snapshot
+from parcelscope.operators.ranking import latest_scores, latest_snapshot, running_totals
 from parcelscope.schemas import Portfolio
+from parcelscope.session import materialize
 
 # Fields a filter may name, with the type of their values.
 FILTER_FIELDS = {
@@ -326,15 +327,20 @@ def net_sheets(p: Portfolio, offers: DataFrame) -> DataFrame:
 def dashboard_tiles(underwriting: DataFrame, scores: DataFrame, strategies: DataFrame) -> DataFrame:
     """Strong deals, total adjusted equity, the top tenth of returns, and what each tile leaves out.
 
-    The return at the top tenth is an exact percentile; the aggregate counts distinct values instead of sorting rows.
+    The return at the top tenth is an exact percentile: the least value whose running total reaches nine tenths of the rows.
     """
     expected = underwriting.where("scenario = 'expected'")
     equity = expected.agg(F.sum("adjusted_equity").cast("decimal(24,2)").alias("total"),
                           F.count_if(F.col("adjusted_equity").isNull()).alias("left_out"))
     strong = scores.agg(F.count_if(F.expr(f"is_rankable AND overall >= {STRONG_DEAL_SCORE}")).alias("total"),
                         F.count_if(~F.col("is_rankable")).alias("left_out"))
-    returns = strategies.where("scenario = 'expected' AND status = 'viable'").agg(
-        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY roi) AS total"), F.count_if(F.col("roi").isNull()).alias("left_out"))
+    counts = materialize(strategies.where("scenario = 'expected' AND status = 'viable'").groupBy("roi").agg(F.count("*").alias("n")), "returns")
+    stated, unknown = counts.where("roi IS NOT NULL"), counts.where("roi IS NULL")
+    whole = stated.agg(F.sum("n")).first()[0] or 0
+    reached = running_totals(stated, [], [F.col("roi")], "n", "up_to").where(F.col("up_to") * 10 >= whole * 9)
+    returns = reached.select(F.col("roi").alias("total"), F.lit(0).cast("bigint").alias("left_out")).unionByName(
+        unknown.select(F.col("roi").alias("total"), F.col("n").alias("left_out"))).agg(
+        F.min("total").alias("total"), F.coalesce(F.sum("left_out"), F.lit(0).cast("bigint")).alias("left_out"))
 
     def tile(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("tile"), F.col("total").cast("double").alias("value"), F.col("left_out"))

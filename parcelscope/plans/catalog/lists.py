@@ -20,7 +20,7 @@ _COMPUTED: dict = {}
 
 def computed(t) -> Results:
     """Result tables of the portfolio of a scale, computed and written once per session."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = t.state()
     if key not in _COMPUTED:
         _COMPUTED[key] = recompute(t.portfolio(), Assumptions(), DAY)
     return _COMPUTED[key]

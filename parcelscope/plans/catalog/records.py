@@ -120,7 +120,7 @@ _RESOLVED: dict = {}
 
 def resolved(t) -> resolution.Resolution:
     """The resolved ledger of a scale; it is written to the shared folder once per session and read by every report."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = t.state()
     if key not in _RESOLVED:
         _RESOLVED[key] = resolution.resolve(driver_facts.ledger(t), DAY, driver_facts.reports(t))
     return _RESOLVED[key]

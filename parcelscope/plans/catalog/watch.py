@@ -87,7 +87,7 @@ def gating_summary(t):
 step("o_flag_requests", """
     SELECT l_partkey AS property_id, 'flag:' || l_partkey || ':' || l_suppkey % 10 AS dedupe_key,
       CASE WHEN l_suppkey % 2 = 0 THEN 'lien_attachment' ELSE 'missing_apn' END AS flag_type, CAST(l_extendedprice AS DECIMAL(16,2)) AS impact
-    FROM lineitem WHERE l_linenumber = 5""")
+    FROM lineitem WHERE l_linenumber % 4 <> 0""")
 
 
 @query("SNK-6_flag_upsert", sql="""
@@ -95,7 +95,7 @@ step("o_flag_requests", """
       CAST(arg_min(impact, row(flag_type, -impact)) AS DOUBLE) AS impact FROM o_flag_requests
     WHERE dedupe_key NOT IN (SELECT dedupe_key FROM d_flags) GROUP BY 1, 2""")
 def flag_upsert(t):
-    requests = t.source("lineitem").where("l_linenumber = 5").selectExpr(
+    requests = t.source("lineitem").where("l_linenumber % 4 <> 0").selectExpr(
         "l_partkey AS property_id", "CASE WHEN l_suppkey % 2 = 0 THEN 'lien_attachment' ELSE 'missing_apn' END AS flag_type",
         "CAST(NULL AS STRING) AS subject", "CAST(l_extendedprice AS DECIMAL(16,2)) AS impact", "'flags' AS raised_by",
         "concat('flag:', l_partkey, ':', l_suppkey % 10) AS dedupe_key")

@@ -14,6 +14,10 @@ from parcelscope.session import configure
 
 AS_OF = "2002-01-01"
 
+# A line number can occur twice in an order, so supplier and price tell such lines apart.
+LINE = """LPAD(CAST(l_orderkey * 10 + l_linenumber AS STRING), 12, '0') || '-' || CAST(l_suppkey AS STRING) || '-'
+          || CAST(CAST(l_extendedprice AS DECIMAL(16,2)) AS STRING)"""
+
 PROJECTIONS = {
     "d_core": """
         SELECT p_partkey AS property_id,
@@ -67,8 +71,8 @@ PROJECTIONS = {
           CAST(NULL AS DECIMAL(16,2)), CAST(NULL AS DECIMAL(16,2)), CAST('2001-01-01' AS DATE),
           CAST(NULL AS DECIMAL(5,4)), CAST(0.95 AS DECIMAL(5,4)), false
         FROM {part} WHERE p_partkey % 3 = 0 AND p_partkey % 13 <> 0""",
-    "d_mortgages": """
-        SELECT l_partkey AS property_id, LPAD(CAST(l_orderkey AS STRING), 12, '0') AS seq,
+    "d_mortgages": f"""
+        SELECT l_partkey AS property_id, {LINE} AS seq,
           CASE l_suppkey % 4 WHEN 0 THEN 'First' WHEN 1 THEN '2nd' WHEN 2 THEN 'HELOC' ELSE 'first' END AS position,
           'Lender ' || CAST(l_suppkey % 20 AS STRING) AS lender,
           CAST(CAST(l_extendedprice AS DECIMAL(16,2)) * 1.5 AS DECIMAL(16,2)) AS original_amount,
@@ -78,9 +82,9 @@ PROJECTIONS = {
           CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(16,2)) END AS balance,
           CAST(1 - l_discount * 4 AS DECIMAL(5,4)) AS balance_confidence, l_linestatus = 'F' AS balance_is_estimated,
           l_suppkey % 4 <> 3 AS is_open
-        FROM {lineitem} WHERE l_linenumber = 1""",
-    "d_liens": """
-        SELECT l_partkey AS property_id, LPAD(CAST(l_orderkey * 10 + l_linenumber AS STRING), 12, '0') AS seq,
+        FROM {{lineitem}} WHERE l_linenumber % 4 = 1""",
+    "d_liens": f"""
+        SELECT l_partkey AS property_id, {LINE} AS seq,
           CASE l_suppkey % 6 WHEN 0 THEN 'federal_tax' WHEN 1 THEN 'judgment' WHEN 2 THEN 'hoa' WHEN 3 THEN 'mechanics'
                WHEN 4 THEN 'state_tax' ELSE 'child_support' END AS lien_type,
           'Creditor ' || CAST(l_suppkey AS STRING) AS creditor,
@@ -91,7 +95,7 @@ PROJECTIONS = {
           CASE l_returnflag WHEN 'A' THEN 'recorded_against_property' WHEN 'N' THEN 'owner_named_only'
                ELSE 'unknown' END AS attachment_basis,
           CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS recording_date
-        FROM {lineitem} WHERE l_linenumber = 2""",
+        FROM {{lineitem}} WHERE l_linenumber % 4 = 2""",
     "d_foreclosure": """
         SELECT p_partkey AS property_id,
           CASE p_size % 5 WHEN 0 THEN 'nod' WHEN 1 THEN 'nts' WHEN 2 THEN 'auction' WHEN 3 THEN 'cancelled'
@@ -114,21 +118,21 @@ PROJECTIONS = {
           CAST(o_orderdate AS DATE) AS filing_date,
           CASE WHEN o_orderkey % 5 = 2 THEN CAST(o_orderdate AS DATE) + 120 END AS discharge_date,
           CAST(1 + o_orderkey % 2 AS INT) AS sequence
-        FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
+        FROM {orders} WHERE o_orderstatus = 'F'""",
     "d_listings": """
         SELECT o_custkey AS property_id, LPAD(CAST(o_orderkey AS STRING), 12, '0') AS seq, CAST(o_orderdate AS DATE) AS list_date,
           CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS delist_date,
           CAST(o_totalprice AS DECIMAL(16,2)) AS price, false AS price_is_estimated,
           CASE o_orderkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'expired' WHEN 2 THEN 'cancelled' ELSE 'sold' END AS status,
           CAST(o_orderkey % 200 AS INT) AS dom
-        FROM {orders} WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P'""",
-    "d_comparables": """
-        SELECT l_partkey AS property_id, LPAD(CAST(l_orderkey AS STRING), 12, '0') AS seq, 'Comp ' || CAST(l_suppkey AS STRING) AS address,
+        FROM {orders} WHERE o_orderstatus <> 'F'""",
+    "d_comparables": f"""
+        SELECT l_partkey AS property_id, {LINE} AS seq, 'Comp ' || CAST(l_suppkey AS STRING) AS address,
           CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS sale_date,
           CASE WHEN l_quantity > 47 THEN NULL ELSE CAST(300000 + l_extendedprice * 2 AS DECIMAL(16,2)) END AS price,
           CAST(700 + l_quantity * 50 AS DECIMAL(20,6)) AS sqft, CAST(l_discount * 30 AS DECIMAL(20,6)) AS distance,
           l_returnflag <> 'N' AS included
-        FROM {lineitem} WHERE l_linenumber = 3""",
+        FROM {{lineitem}} WHERE l_linenumber % 4 = 3""",
     "d_owners": """
         SELECT p_partkey AS property_id, p_brand AS owner_name FROM {part}
         UNION ALL SELECT p_partkey, p_type FROM {part} WHERE p_partkey % 4 = 0""",
@@ -146,7 +150,7 @@ PROJECTIONS = {
           CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'resolved' END AS status,
           'flag:' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey % 10 AS STRING) AS dedupe_key,
           CAST(l_shipdate AS DATE) AS raised_on
-        FROM {lineitem} WHERE l_linenumber = 4""",
+        FROM {lineitem} WHERE l_linenumber % 4 = 0""",
     "d_properties": """
         SELECT p_partkey AS id, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE 'APN-' || CAST(p_partkey AS STRING) END AS apn,
           CAST(1 + p_partkey % 900 AS STRING) || ' ' || p_name AS address_line1, 'City ' || CAST(p_size % 7 AS STRING) AS city,
@@ -181,7 +185,7 @@ PROJECTIONS = {
           CAST(50 + o_orderkey % 40 AS DECIMAL(9,4)) AS dcs, CAST(o_orderkey % 30 AS DECIMAL(9,4)) AS risk
         FROM {orders}""",
     "d_reports": """
-        SELECT doc_id AS report_id, source AS batch_id, doc_id % 500 AS property_id, doc_id % 7 = 0 AS ocr_applied,
+        SELECT doc_id AS report_id, source AS batch_id, CAST((doc_id - doc_id % 4) / 4 AS BIGINT) AS property_id, doc_id % 7 = 0 AS ocr_applied,
           CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'queued' ELSE 'ingested' END AS status,
           lang AS vendor, n_chars, text
         FROM {documents}""",
@@ -198,6 +202,12 @@ class Tables:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def state(self) -> tuple:
+        """What the files of the folder are just now: a result kept for a session holds while this stays the same."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
+        row = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()
+        return self.spark.sparkContext.applicationId, self.folder, row[0], row[1]
+
     def sql(self, text: str) -> DataFrame:
         """Run a projection with ``{table}`` bound to the parquet file of that table."""
         names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
