@@ -1,12 +1,14 @@
 """Near-duplicate vectors by sorted projection passes.
 
-A pass gives every vector 64 random hyperplane bits, sorts the vectors of a label by these bits and compares each vector with the
-next ``NEIGHBOURS`` ones. Pairs at or above the threshold, verified in double precision, are united within a task at once, so a task
-returns a spanning forest of its links and never the pairs of a large group. The number of passes follows from the size of the
-largest label: as many as leave a pair at the threshold apart with probability ``MISSED``. The passes' links give the components.
+A pass cuts the vectors of a label into buckets by the leading bits of random hyperplanes and compares all vectors of a bucket with
+each other, in blocks where it is large. Two vectors at the threshold share ``k`` such bits with a known probability, however the other
+vectors lie, so the passes that leave such a pair apart with probability ``MISSED`` follow from ``k`` alone. ``k`` is chosen per label by
+the measured sizes of its buckets, for the least work: dense labels need more bits and passes, small ones none, and with no bits all pairs
+are compared. Equal vectors are one vector here. Pairs are verified in double precision; of a pair of blocks only a spanning forest of
+its links is returned, never the pairs of a large group. The passes' links give the components.
 
 The links themselves are then counted exactly: members of a component are compared with each other in blocks, so every linked pair
-counts that the passes have brought into one component, whatever window it was in.
+counts that the passes have brought into one component, whatever bucket it was in.
 
 Only vectors with equal labels and dimensions are compared. A vector that is null, zero or holds a null or non-finite number, or whose
 label is null, links with nothing. Rows that repeat an id, a label and a vector are one vector; an id with different vectors has the
@@ -21,29 +23,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelscope.llm.common import BROADCAST_ROWS
 from parcelscope.operators.linking import components
 from parcelscope.session import materialize
 
 NEAR = 0.93
-BITS = 64
-NEIGHBOURS = 48
+BITS = 32
 MISSED = 1e-4
 SEED = 20_240_731
-#: Members of a component in one block.
-BLOCK = 1024
+#: Members of a component, and vectors of a bucket, in one block.
+BLOCK, BUCKET_BLOCK = 1024, 4096
+#: Leading bits that a label's buckets may have, and the work of dealing out a row in compared pairs.
+LEVELS = (0, 4, 6, 8, 10, 12, 14, 16, 18, 20, 24, 28, 32)
+ROW_WORK = 500
 
 
-def passes_for(largest: int) -> int:
-    """Passes that leave at most ``MISSED`` of the pairs at the threshold apart, for a label of this size.
-
-    A pair is compared if it agrees in the leading bits that narrow the label down to a window.
-    """
-    same_bit = 1 - math.acos(NEAR) / math.pi
-    found = same_bit ** max(0.0, math.log2(max(largest, 1) / NEIGHBOURS) + 1)
-    return max(4, math.ceil(math.log(MISSED) / math.log1p(-min(found, 0.999))))
+def passes_for(bits: int) -> int:
+    """Passes after which at most ``MISSED`` of the pairs at the threshold have shared no bucket of so many bits."""
+    if not bits:
+        return 1
+    shared = (1 - math.acos(NEAR) / math.pi) ** bits
+    return math.ceil(math.log(MISSED) / math.log1p(-shared))
 
 
 def _planes(turn: int, dimension: int) -> np.ndarray:
@@ -64,73 +67,110 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _projected(passes: int):
+def _projected(vectors: bool):
+    """Every (id, label, vector, bits, passes) once per pass, with its bucket; with the vector if asked for."""
     def project(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in rows:
-            size = np.diff(batch.column(2).offsets.to_numpy())
-            for d in np.unique(size).tolist():
-                part = batch.filter(pa.array(size == d))
+            size, k, passes = np.diff(batch.column(2).offsets.to_numpy()), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            for d, bits in np.unique(np.stack([size, k], axis=1), axis=0).tolist():
+                chosen = (size == d) & (k == bits)
+                part = batch.filter(pa.array(chosen))
                 x = _matrix(part.column(2))
-                for turn in range(passes):
-                    if (turn, d) not in planes:
-                        planes[turn, d] = _planes(turn, d)
-                    bits = np.packbits(x @ planes[turn, d] > 0, axis=1).view(">u8").ravel().astype(np.uint64)
-                    signed = (bits ^ np.uint64(1 << 63)).view(np.int64)  # signed order is the bits' order
+                for turn in range(int(passes[chosen].max())):
+                    prefix = np.zeros(len(x), np.int64)
+                    if bits:
+                        if (turn, d) not in planes:
+                            planes[turn, d] = _planes(turn, d)
+                        signs = np.packbits(x @ planes[turn, d] > 0, axis=1).view(">u4").ravel()
+                        prefix = signs.astype(np.int64) >> (BITS - bits)
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(signed), *part.columns],
-                        ["turn", "dimension", "bits", "id", "label", "vector"])
+                        [pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(prefix),
+                         *part.columns[:3 if vectors else 2]],
+                        ["turn", "dimension", "prefix", "id", "label", "vector"][:6 if vectors else 5])
 
     return project
 
 
-class Forest:
-    """Unites ids and remembers which unions joined two trees."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-        self.joined: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def unite(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.joined.append((x, y))
-
-
-def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row of a sorted partition with the next ones of its pass, label and dimension."""
-    forest, carried = Forest(), {}
-    for batch in rows:
-        turn, dimension = (batch.column(k).to_numpy() for k in (0, 1))
-        label = batch.column(4).dictionary_encode()
-        place = label.indices.to_numpy()
-        names = label.dictionary.to_pylist()
-        change = np.flatnonzero(np.append(True, (turn[1:] != turn[:-1]) | (dimension[1:] != dimension[:-1]) | (place[1:] != place[:-1])))
-        ids = batch.column(3).to_numpy()
-        for a, b in zip(change.tolist(), [*change[1:].tolist(), batch.num_rows], strict=True):
-            key = (int(turn[a]), names[place[a]], int(dimension[a]))
-            x, own = _matrix(batch.column(5).slice(a, b - a)), ids[a:b]
-            if key in carried:
-                x, own = np.vstack([carried[key][0], x]), np.append(carried[key][1], own)
-            new = len(own) - (b - a)
-            norm = np.sqrt((x * x).sum(axis=1))
-            for step in range(1, min(NEIGHBOURS, len(own) - 1) + 1):
-                first = max(0, new - step)  # pairs of carried rows were compared before
-                cosine = (x[first + step:] * x[first:-step]).sum(axis=1) / (norm[first + step:] * norm[first:-step])
-                for i in np.flatnonzero(cosine >= NEAR).tolist():
-                    forest.unite(int(own[first + i]), int(own[first + i + step]))
-            carried = {key: (x[-NEIGHBOURS:], own[-NEIGHBOURS:])}
-    links = forest.joined
-    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+def _bits_by_label(rows: DataFrame) -> DataFrame:
+    """(of_label, of_dimension, bits, passes, work): the leading bits with the least work, by the pairs of one pass's buckets."""
+    label_type = rows.schema["label"].dataType.simpleString()
+    key = ("label", "dimension")
+    sizes = materialize(rows.groupBy("label", F.size("vector").alias("dimension")).agg(F.count("*").alias("n")), "label-sizes")
+    small = sizes.where(F.col("n") <= BUCKET_BLOCK).select(*key, F.lit(0).alias("bits"), F.lit(1).alias("passes"), F.col("n").alias("rows"))
+    large = sizes.where(F.col("n") > BUCKET_BLOCK).select(F.col("label").alias("of_label"), F.col("dimension").alias("of_dimension"))
+    measured = _join_few(rows, large, (F.col("label") == F.col("of_label")) & (F.size("vector") == F.col("of_dimension")), "left_semi")
+    keyed = measured.select("id", "label", "vector", F.lit(BITS).alias("bits"), F.lit(1).alias("passes")) \
+        .mapInArrow(_projected(False), f"turn int, dimension int, prefix long, id long, label {label_type}")
+    levels = F.array(*(F.struct(F.lit(k).alias("bits"), F.lit(passes_for(k)).alias("passes")) for k in LEVELS))
+    buckets = keyed.withColumn("level", F.explode(levels)) \
+        .groupBy(*key, "level", F.expr(f"shiftright(prefix, {BITS} - level.bits)").alias("prefix")).agg(F.count("*").cast("double").alias("n"))
+    # A row is dealt out once per block of its bucket.
+    dealt = F.col("n") * F.ceil(F.col("n") / BUCKET_BLOCK)
+    work = buckets.groupBy(*key, "level").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum(dealt).alias("rows")) \
+        .withColumn("work", F.col("level.passes") * (F.col("pairs") + ROW_WORK * F.col("rows")))
+    best = work.groupBy(*key).agg(F.min(F.struct("work", "level", "rows")).alias("best")) \
+        .select(*key, "best.level.bits", "best.level.passes", (F.col("best.rows") * F.col("best.level.passes")).cast("long").alias("rows"))
+    return materialize(small.unionByName(best).withColumnsRenamed({"label": "of_label", "dimension": "of_dimension"}), "label-bits")
+
+
+def _join_few(rows: DataFrame, few: DataFrame, on: Column, how: str) -> DataFrame:
+    """Join a table that most often has few rows, which is then broadcast."""
+    return rows.join(F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few, on, how)
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    length_x, length_y = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+    near = np.empty((len(x), len(y)), bool)
+    for a in range(0, len(x), 256):
+        near[a:a + 256] = (x[a:a + 256] @ y.T) / (length_x[a:a + 256, None] * length_y[None, :]) >= NEAR
+    return near
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, their tree's first row, columns, their tree's first row) of the trees that link rows with columns."""
+    back = np.ascontiguousarray(near.T)
+    row_of, column_of = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for first in np.flatnonzero(near.any(axis=1)).tolist():
+        if row_of[first] >= 0:
+            continue
+        row_of[first], rows = first, np.array([first])
+        while len(rows):
+            columns = np.flatnonzero(near[rows].any(axis=0) & (column_of < 0))
+            column_of[columns] = first
+            rows = np.flatnonzero(back[columns].any(axis=0) & (row_of < 0)) if len(columns) else columns
+            row_of[rows] = first
+    rows, columns = np.flatnonzero(row_of >= 0), np.flatnonzero(column_of >= 0)
+    return rows, row_of[rows], columns, column_of[columns]
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links of each bucket, or of each pair of its blocks, in a pack."""
+    table = table.combine_chunks()
+    label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    keys = np.stack([label, *(table[c].to_numpy() for c in ("turn", "dimension", "prefix", "low", "high"))]).astype(np.int64)
+    order = np.lexsort(keys)
+    keys = keys[:, order]
+    begins = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+    sizes = np.diff(np.append(begins, len(order)))
+    ids, block = table["id"].to_numpy()[order], table["block"].to_numpy()[order]
+    vectors = table["vector"].combine_chunks().take(pa.array(order))
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        x, own, low, high = _matrix(vectors.slice(a, n)), ids[a:a + n], keys[4, a], keys[5, a]
+        one = two = slice(None)
+        if low != high:
+            one, two = block[a:a + n] == low, block[a:a + n] == high
+        near = _near(x[one], x[two])
+        if low == high:
+            np.fill_diagonal(near, False)
+        if near.any():
+            rows, row_of, columns, column_of = _forest(near)
+            u += [own[one][row_of], own[one][column_of]]
+            v += [own[one][rows], own[two][columns]]
+    u, v = np.concatenate(u), np.concatenate(v)
+    return pa.table({"u": u[u != v], "v": v[u != v]})
 
 
 def _counted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -161,15 +201,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vector_col, label_col), "vectors")
-    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest)
     label_type = rows.schema["label"].dataType.simpleString()
-    keyed = rows.mapInArrow(_projected(passes), f"turn int, dimension int, bits long, id long, label {label_type}, vector array<double>")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), passes)
-    order = ("turn", "dimension", "label", "bits", "id")
-    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order) \
-        .select("turn", "dimension", "bits", "id", "label", "vector")
-    links = materialize(dealt.mapInArrow(_windows, "u long, v long"), "vector-links")
+    # Equal vectors are linked with the least id among them, which stands for them in the passes.
+    equal = materialize(rows.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("size")), "equal-vectors")
+    shared = equal.where("size > 1").select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), F.col("id").alias("u"))
+    copies = _join_few(rows, shared, (F.col("label") == F.col("of_label")) & (F.col("vector") == F.col("of_vector")), "inner") \
+        .where("id <> u").select("u", F.col("id").alias("v"))
+    single = equal.select("id", "label", "vector")
+    chosen = _bits_by_label(single)
+    packs = max(1, (chosen.agg(F.sum("rows")).first()[0] or 0) // (2 * BUCKET_BLOCK))
+    planned = _join_few(single, chosen, (F.col("label") == F.col("of_label")) & (F.size("vector") == F.col("of_dimension")), "inner") \
+        .select("id", "label", "vector", "bits", "passes")
+    bucket = ("turn", "dimension", "prefix", "label")
+    schema = f"turn int, dimension int, prefix long, id long, label {label_type}"
+    crowded = materialize(planned.mapInArrow(_projected(False), schema).groupBy(*bucket).agg(F.count("*").alias("size"))
+                          .where(F.col("size") > BUCKET_BLOCK).withColumnsRenamed({c: f"of_{c}" for c in bucket}), "large-buckets")
+    same = [F.col(c) == F.col(f"of_{c}") for c in bucket]
+    cut = F.coalesce(F.ceil(F.col("size") / BUCKET_BLOCK).cast("int"), F.lit(1))
+    dealt = _join_few(planned.mapInArrow(_projected(True), f"{schema}, vector array<double>"), crowded,
+                      same[0] & same[1] & same[2] & same[3], "left") \
+        .withColumn("block", F.pmod(F.xxhash64("id"), cut).cast("int")) \
+        .withColumn("with", F.explode(F.sequence(F.lit(0), cut - 1))) \
+        .select(*bucket, "id", "vector", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    found = dealt.groupBy(F.pmod(F.xxhash64(*bucket, "low", "high"), F.lit(packs)).alias("pack")).applyInArrow(_linked, "u long, v long")
+    links = materialize(found.unionByName(copies).distinct(), "vector-links")
     grouped = materialize(components(links).select(F.col("node").alias("id"), "component"), "vector-components")
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
     members = rows.join(grouped, "id").join(sizes, "component")

@@ -267,3 +267,26 @@ def test_main_text(spark):
     frame = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     assert [r.text for r in html_extract.extract(frame).orderBy(F.length("text")).collect()][:2] == ["", ""]
     assert html_extract.extract(frame.where("false")).count() == 0
+
+
+def test_near_vectors_of_a_dense_label(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BUCKET_BLOCK", 256)
+    monkeypatch.setattr(embeddings, "ROW_WORK", 4)
+    rng = np.random.default_rng(3)
+    n, d = 2000, 64
+    base = 2 * np.ones(d) / np.sqrt(d) + rng.standard_normal((n, d)) / np.sqrt(d)  # mean cosine 0.8
+    near = np.arange(0, 200, 2)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    base[near + 1] = base[near] + 0.38 * rng.standard_normal((100, d)) / np.sqrt(d)
+    base = np.vstack([base, np.repeat(base[-1:], 300, axis=0)])
+    x = np.float64(np.float32(base))
+    x_unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = x_unit @ x_unit.T >= embeddings.NEAR
+    np.fill_diagonal(links, False)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int")
+    rows = embeddings.usable(frame, "vec_id", "embedding", "label")
+    assert embeddings._bits_by_label(rows.where("id < 2000")).first().bits > 0
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    assert links[:200].any(axis=1).sum() > 100
+    assert [got[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
+    assert all(got[i].component_id == n - 1 and got[i].kept == (i == n - 1) for i in range(n - 1, len(x)))
