@@ -33,9 +33,9 @@ from parcelscope.llm.common import BROADCAST_ROWS, held, size_of, texts_of
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIIII")
 END = 0
-#: Ids of a shard, pairs replaced side by side and rounds at most, and the least number of times a replaced pair occurs.
+#: Ids of a shard, pairs replaced side by side in a round, and the least number of times a replaced pair occurs.
 SHARD_IDS = 1 << 20
-TOGETHER, ROUNDS, LEAST = 2048, 4, 32
+TOGETHER, LEAST = 2048, 32
 TABLE_BITS = 18
 #: Slices a worker keeps the ids of.
 KEPT = 1_200_000
@@ -72,50 +72,63 @@ def _library(path: str) -> LibraryIds:
     return held(("library", path), lambda: LibraryIds(path))
 
 
-def _frequent(keys: np.ndarray) -> np.ndarray:
-    """The most frequent keys, most frequent first, equal ones by value."""
+def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys, most frequent first, equal ones by value; and all frequent keys in order."""
     ordered = np.sort(keys)
     ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), len(ordered) - 1)
     times = np.diff(np.append(-1, ends))
     often = times >= LEAST
     pairs, times = ordered[ends[often]], times[often]
-    return pairs[np.argsort(-times, kind="stable")[:TOGETHER]]
+    return pairs[np.argsort(-times, kind="stable")[:TOGETHER]], pairs
 
 
 def compress(ids: np.ndarray, documents: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, numbers of symbols per document, rules, expansion lengths); ``documents`` has the numbers of ids per document."""
-    half = 16 if first_rule + ROUNDS * TOGETHER <= 1 << 16 else 32
-    kind, factor = (np.uint32, 0x9E3779B1) if half == 16 else (np.uint64, 0x9E3779B97F4A7C15)
-    symbols = ids.astype(kind)
+    """(symbols, numbers of symbols per document, rules, expansion lengths); ``documents`` has the numbers of ids per document.
+
+    Only places whose pair is frequent, or has just been made, are counted again: all places of a frequent pair are among them, and
+    no other pair can become frequent.
+    """
+    symbols = ids.astype(np.uint32)
     owner = np.repeat(np.arange(len(documents), dtype=np.int32), documents)
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        inside = owner[:-1] == owner[1:]
-        keys = symbols[:-1] << kind(half) | symbols[1:]
-        chosen = _frequent(keys[inside]) if inside.any() else keys[:0]
+    live = np.flatnonzero(owner[:-1] == owner[1:])  # places of the pairs' left symbols
+    while len(live):
+        half = 16 if first_rule + len(rules) + TOGETHER <= 1 << 16 else 32
+        kind, factor = (np.uint32, 0x9E3779B1) if half == 16 else (np.uint64, 0x9E3779B97F4A7C15)
+        keys = symbols[live].astype(kind) << kind(half) | symbols[live + 1]
+        chosen, frequent = _frequent(keys)
         # A chosen pair has a place in a hash table; of two that meet, the more frequent one is replaced in this round.
-        bucket = (keys * kind(factor)) >> kind(2 * half - TABLE_BITS)
         place = (chosen * kind(factor)) >> kind(2 * half - TABLE_BITS)
         _, first = np.unique(place, return_index=True)
         first.sort()
         chosen, place = chosen[first], place[first]
         if not len(chosen):
             break
-        used, pair_at, name_at = np.zeros(1 << TABLE_BITS, bool), np.zeros(1 << TABLE_BITS, kind), np.zeros(1 << TABLE_BITS, kind)
+        used, pair_at, name_at = np.zeros(1 << TABLE_BITS, bool), np.zeros(1 << TABLE_BITS, kind), np.zeros(1 << TABLE_BITS, np.uint32)
         used[place], pair_at[place] = True, chosen
-        name_at[place] = (first_rule + len(rules) + np.arange(len(chosen))).astype(kind)
+        name_at[place] = (first_rule + len(rules) + np.arange(len(chosen))).astype(np.uint32)
         own = np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], axis=1).astype(np.int64)
         size = np.where(own < first_rule, 1, np.append(lengths, 0)[np.clip(own - first_rule, 0, len(lengths))]).sum(axis=1)
         rules, lengths = np.vstack([rules, own]), np.append(lengths, size)
         # Of pairs that overlap in a row, every second one is replaced, from the left.
-        at = np.flatnonzero((pair_at[bucket] == keys) & inside & used[bucket])
-        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)) if len(at) else at
+        bucket = (keys * kind(factor)) >> kind(2 * half - TABLE_BITS)
+        taken = np.flatnonzero((pair_at[bucket] == keys) & used[bucket])
+        at = live[taken]
+        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
         turn = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at = at[turn % 2 == 0]
-        symbols[at] = name_at[bucket[at]]
-        keep = np.ones(len(symbols), bool)
+        taken, at = taken[turn % 2 == 0], at[turn % 2 == 0]
+        symbols[at] = name_at[bucket[taken]]
+        # Pairs that are left: frequent ones whose symbols both stayed, and those with a new symbol.
+        keep, often = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
         keep[at + 1] = False
-        symbols, owner = symbols[keep], owner[keep]
+        tables = np.zeros(1 << TABLE_BITS, bool)
+        tables[(frequent * kind(factor)) >> kind(2 * half - TABLE_BITS)] = True
+        often[live[tables[bucket]]] = True
+        symbols, owner, often = symbols[keep], owner[keep], often[keep]
+        new = at - np.arange(len(at))
+        often[new] = True
+        often[new[new > 0] - 1] = True
+        live = np.flatnonzero(often[:-1] & (owner[:-1] == owner[1:]))
     return symbols, np.bincount(owner, minlength=len(documents)), rules, lengths
 
 

@@ -290,3 +290,15 @@ def test_near_vectors_of_a_dense_label(spark, monkeypatch):
     assert links[:200].any(axis=1).sum() > 100
     assert [got[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
     assert all(got[i].component_id == n - 1 and got[i].kept == (i == n - 1) for i in range(n - 1, len(x)))
+
+
+def test_grammar_leaves_no_frequent_pair():
+    passage = np.random.default_rng(9).integers(1, 50_000, 2000).astype(np.uint32)
+    documents = np.full(100, 2001)
+    ids = np.tile(np.append(passage, np.uint32(repair.END)), 100)
+    symbols, numbers, rules, lengths = repair.compress(ids, documents, 50257)
+    owner = np.repeat(np.arange(100), numbers)
+    pairs = Counter((a, b) for a, b, x, y in zip(symbols.tolist(), symbols.tolist()[1:], owner, owner[1:]) if x == y)
+    assert max(pairs.values(), default=0) < repair.LEAST and len(symbols) == 100 and lengths.max() == 2001
+    shard = repair.Shard(repair.write_shard(ids, documents, 50257))
+    assert (shard.all_ids() == ids).all() and (shard.between(4001, 6003) == ids[4001:6003]).all()
