@@ -3,7 +3,8 @@
 Base spans come from three fixed patterns. The method adds spans: candidate strings are the maximal runs of a character class;
 a window of fixed width slides over a candidate, its Shannon entropy follows from the counts of its characters, and a step
 changes only the counts of the character that leaves and the one that enters. The windows at or above the class's threshold,
-joined where they touch, are spans, unless the candidate matches the allow-list. Base spans are never suppressed.
+joined where they touch, are spans. Windows that overlap a filler (an allowed word or a repeat) don't count: candidates are cut at
+fillers, and of the pieces those of one letter case or of digits only are no secrets. Base spans are never suppressed.
 
 Spans are (kind, start, end) in code points, end exclusive. A null text is an empty one and has none; every row is worked on
 alone, so repeated rows, ties and null ids need no rule, and only the id and text columns are read.
@@ -28,10 +29,10 @@ CLASSES = (
     ("hex_entropy", r"[0-9a-fA-F]{16,}", "0123456789abcdefABCDEF", 16, 2.75),
     ("base64_entropy", r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.85),
 )
-#: Candidates that are no secrets: one letter case or digits only, identifiers joined by one mark, examples, repeats.
-ALLOWED = (r"^[A-Za-z+/_=-]+$|^[0-9+/_=-]+$"
-           r"|(?i:example|sample|placeholder|dummy|changeme|xxxx|0123456789|abcdef0?123)"
-           r"|(.)\1{7}")
+#: Pieces that are no secrets: one letter case or digits only, identifiers joined by marks. Fillers: examples, repeats.
+PLAIN = r"^[a-z+/_=-]+$|^[A-Z+/_=-]+$|^[0-9+/_=-]+$"
+FILLER = r"(?i:example|sample|placeholder|dummy|changeme|x{4,}|abcdef0?123(?:456789)?|0123456789)|(.)\1{7,}"
+ALLOWED = f"{PLAIN}|{FILLER}"
 LOCATED = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -87,8 +88,25 @@ def _as_spans(found: Column, kind: str, rank: int) -> Column:
         s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _pieces(candidate: Column) -> Column:
+    """(start, match) of what is left of a candidate between its fillers."""
+    def add(state: Column, pair: Column) -> Column:
+        return F.struct(
+            (state["at"] + F.length(pair["gap"]) + F.coalesce(F.length(pair["filler"]), F.lit(0))).alias("at"),
+            F.concat(state["pieces"], F.array(F.struct(state["at"].alias("start"), pair["gap"].alias("match")))).alias("pieces"))
+
+    match = candidate["match"]
+    start = F.struct(candidate["start"].alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("pieces"))
+    # The last gap has no filler after it.
+    pairs = F.zip_with(F.split(match, FILLER, -1), F.regexp_extract_all(match, F.lit(FILLER), F.lit(0)),
+                       lambda gap, filler: F.struct(gap.alias("gap"), filler.alias("filler")))
+    whole = F.array(F.struct(candidate["start"].alias("start"), match.alias("match")))
+    return F.when(match.rlike(FILLER), F.aggregate(pairs, start, add, lambda s: s["pieces"])).otherwise(whole)
+
+
 def _added(found: Column, kind: str, alphabet: str, width: int, least: float, rank: int) -> Column:
-    doubtful = F.filter(found, lambda c: ~c["match"].rlike(ALLOWED))
+    pieces = F.flatten(F.transform(found, _pieces))
+    doubtful = F.filter(pieces, lambda c: (F.length(c["match"]) >= width) & ~c["match"].rlike(PLAIN))
     return F.flatten(F.transform(doubtful, lambda c: F.transform(
         _entropy_spans(c["match"], alphabet, width, least),
         lambda w: F.struct((c["start"] + w["from"]).alias("start"), F.lit(rank).alias("rank"),

@@ -302,3 +302,19 @@ def test_grammar_leaves_no_frequent_pair():
     assert max(pairs.values(), default=0) < repair.LEAST and len(symbols) == 100 and lengths.max() == 2001
     shard = repair.Shard(repair.write_shard(ids, documents, 50257))
     assert (shard.all_ids() == ids).all() and (shard.between(4001, 6003) == ids[4001:6003]).all()
+
+
+def test_secrets_beside_fillers(spark):
+    key = "".join(np.random.default_rng(4).choice(list("ABCDEFGHIJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwyz23456789"), 40))
+    letters = "QwErTyUiOpAsDfGhJkLzXcVbNm"
+    openssh = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAA"
+    texts = [f"sample_key={key}", f"docs/example/{key}", openssh, letters, key + "A" * 3000 + key, "some_lower_case_name/of_an_example_path", "x" * 60]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if "entropy" in s.kind] for r in secret_scan.scan(frame).collect()}
+    covered = {i: {p for _, a, b in got[i] for p in range(a, b)} for i in got}
+    for i in (0, 1):
+        assert covered[i] >= set(range(texts[i].index(key), len(texts[i]))) and texts[i][min(covered[i]) - 1] == "e"
+    assert covered[2] and not covered[2] & set(range(openssh.index("AAAAAAAAAB"), openssh.index("AAAAAAAAAB") + 9))
+    assert covered[3] == set(range(26))
+    assert covered[4] >= set(range(38)) and covered[4] >= set(range(3042, 3080)) and 1000 not in covered[4]
+    assert not got[5] and not got[6]
