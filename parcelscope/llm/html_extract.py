@@ -2,8 +2,10 @@
 
 A paragraph is a block with text of its own. It passes points (one, one per comma, up to three for its length) to its ancestors, less
 to farther ones; a container's points are discounted by the share of its text inside links. The best container is kept, or the article
-or main element that holds it, and with it the siblings that hold paragraphs, or score well, and aren't mostly links. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+or main element that holds it, and with it the siblings that hold paragraphs, or score well, and aren't mostly links; of an article's
+siblings the articles that score well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+are left out wherever they stand. Where only the words of a class or id say so, an element with most of the page's text outside links
+stays, and if nothing would be left, these words don't count.
 
 A null page is an empty one; broken markup never fails; nothing is cut or capped. Only the id, url and html columns are read, so
 further columns can't clash; repeated rows give repeated results.
@@ -38,18 +40,24 @@ DROPPED_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising
     banner sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead topbar header footer cookie cookies consent
     gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related
     recommended recommendations comment comments commentlist disqus respond reply replies toolbar copyright disclaimer widget""".split())
+#: An element named by such words is left out if it holds at most this share of the page's text outside links: reader comments may be
+#: longer than what they are about.
+LITTLE, LITTLE_TALK = 0.5, 0.9
+TALK = frozenset("comment comments commentlist disqus respond reply replies".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "text_len", "link_len", "paragraphs", "dropped", "holds_article")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "text_len", "link_len", "paragraphs", "dropped", "holds_article", "plain_len",
+                 "linked")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.points, self.text_len, self.link_len, self.paragraphs = 0.0, 0, 0, 0
-        self.dropped = self.holds_article = False
+        self.dropped = self.holds_article = self.linked = False
+        self.plain_len = 0
 
 
 class Tree(HTMLParser):
@@ -112,34 +120,46 @@ def _left_out(node: Node, in_article: bool) -> bool:
         return True
     if tag == "header":
         return not in_article
-    if not attrs:
+    return bool(attrs) and bool("hidden" in attrs or HIDDEN.search(attrs.get("style") or "")
+                                or (attrs.get("role") or "").lower() in DROPPED_ROLES)
+
+
+def _named_out(node: Node, in_article: bool, page_len: int) -> bool:
+    tag = node.tag
+    if not node.attrs or tag == "header":
         return False
-    if "hidden" in attrs or HIDDEN.search(attrs.get("style") or "") or (attrs.get("role") or "").lower() in DROPPED_ROLES:
-        return True
     if node.holds_article or tag in ("main", "article") and not _names(node) & {"comment", "comments", "ad", "related", "reply"}:
         return False
     named = _names(node) & DROPPED_NAMES
     if named <= {"header", "banner"} and in_article:
         return False  # an article's own head
-    return bool(named) and tag not in HEADINGS
+    share = LITTLE_TALK if named & TALK else LITTLE
+    return bool(named) and tag not in HEADINGS and node.plain_len <= share * page_len
 
 
-def _read(tree: Tree) -> list[tuple[Node, str]]:
+def _read(tree: Tree, by_name: bool = True) -> list[tuple[Node, str]]:
     """Decide what is left out and list the paragraphs: (block, text), in page order, without what is left out."""
     for node in tree.order:
         if node.tag in ("article", "main"):
             up = node.parent
             while up is not None and not up.holds_article:
                 up.holds_article, up = True, up.parent
+    inside: set[int] = set()
     for node in tree.order[1:]:  # parents come first
-        up, inside = node.parent, False
-        node.dropped = up.dropped
-        if not node.dropped:
-            if node.tag == "header" or node.attrs:
-                above = up
-                while above is not None and not inside:
-                    inside, above = above.tag in ("article", "main"), above.parent
-            node.dropped = _left_out(node, inside)
+        up = node.parent
+        if up.tag in ("article", "main") or id(up) in inside:
+            inside.add(id(node))
+        node.linked = up.linked or node.tag == "a"
+        node.dropped = up.dropped or _left_out(node, id(node) in inside)
+    if by_name:
+        for node in reversed(tree.order):
+            if not node.dropped:
+                if not node.linked:
+                    node.plain_len += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+                if node.parent is not None:
+                    node.parent.plain_len += node.plain_len
+        for node in tree.order[1:]:
+            node.dropped = node.dropped or node.parent.dropped or _named_out(node, id(node) in inside, tree.root.plain_len)
     found: list[tuple[Node, list[str], list[int]]] = []
     block, parts, linked = tree.root, [], [0]
 
@@ -211,6 +231,10 @@ def main_text(html: str) -> str:
     tree.feed(html)
     tree.close()
     paragraphs = _read(tree)
+    if not any(node.paragraphs for node, _ in paragraphs):
+        for node in tree.order:
+            node.points, node.text_len, node.link_len, node.paragraphs = 0.0, 0, 0, 0
+        paragraphs = _read(tree, by_name=False)
     if not paragraphs:
         return ""
 
@@ -232,9 +256,13 @@ def main_text(html: str) -> str:
     kept = {id(best)}
     if best.parent is not None:
         least = max(1.0, 0.2 * rank(best))
+        own = 0.2 * best.points * (1 - _density(best))
         for sibling in best.parent.children:
-            if isinstance(sibling, Node) and not sibling.dropped and sibling.text_len and best.tag not in ("article", "main"):
-                good = rank(sibling) >= least or sibling.paragraphs or sibling.tag in HEADINGS
+            if isinstance(sibling, Node) and not sibling.dropped and sibling.text_len:
+                if best.tag in ("article", "main"):
+                    good = sibling.tag == best.tag and sibling.paragraphs and sibling.points * (1 - _density(sibling)) >= own
+                else:
+                    good = rank(sibling) >= least or sibling.paragraphs or sibling.tag in HEADINGS
                 if good and _density(sibling) < 0.33:
                     kept.add(id(sibling))
     out = []

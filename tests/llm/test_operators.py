@@ -318,3 +318,15 @@ def test_secrets_beside_fillers(spark):
     assert covered[3] == set(range(26))
     assert covered[4] >= set(range(38)) and covered[4] >= set(range(3042, 3080)) and 1000 not in covered[4]
     assert not got[5] and not got[6]
+
+
+def test_wrappers_and_sibling_articles():
+    text = "<p>Some text, with a comma, long enough to be the page's main text.</p><p>More of it, as well.</p>"
+    plain = "Some text, with a comma, long enough to be the page's main text.\n\nMore of it, as well."
+    for wrapper in ("class='content with-sidebar'", "id='page-menu-right'", "class='widget post-share-enabled'", "class='post comments-open'"):
+        assert html_extract.main_text(f"<div class='menu'><a href=a>A</a></div><div {wrapper}>{text}<div class=share>Share it</div></div>") == plain
+    assert html_extract.main_text(f"<div class=widget>{text}</div><div class=promo>{text}</div><div class=notice>{text}</div>").count(plain) == 3
+    talk = "<div class=comments>" + "<p>Great, thanks, all.</p>" * 20 + "</div>"
+    assert html_extract.main_text(f"<div><div>{text}</div>{talk}</div>") == plain
+    two = f"<main><article>{text}</article><article><p>The second part, which is kept, too.</p></article><div class=ad>Buy, now.</div></main>"
+    assert html_extract.main_text(two) == plain + "\n\nThe second part, which is kept, too."
