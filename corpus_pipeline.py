@@ -9,12 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelscope.llm import bagminhash, bpe, langid, mixing, secret_scan
 from parcelscope.llm.common import crc_class, small_batches
-from parcelscope.session import materialize
 
 #: Below this score no language claims a document.
 LEAST_SCORE = 0.25
@@ -30,14 +29,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate class: the one with the smallest id (of a repeated id the first text); null ids stay."""
+    """One document of every class of near-duplicate texts, whatever ids they have: see ``bagminhash.distinct``."""
     small_batches(spark)
-    kept = materialize(bagminhash.classes(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
-    first = again.withColumn("turn", F.row_number().over(order)).where("turn = 1").select(*docs.columns)
-    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL"))
+    return bagminhash.distinct(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

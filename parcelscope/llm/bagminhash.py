@@ -6,14 +6,14 @@ time, one of ``SIZE`` components and a level inside the interval. Points at a le
 point of a component is its signature value; two documents share it with a probability equal to their weighted Jaccard similarity.
 Points are made in order of time and only up to a bound that shrinks with a document's weight, so most shingles make none.
 
-Bands of the signature give candidate pairs. Documents with equal multisets are one node from the start. In every band's bucket
-a document is compared with the bucket's smallest id, and its best such pair is verified by the exact overlap; this ties large
+Bands of the signature give candidate pairs. A node is a content: all documents with equal multisets. In every band's bucket
+a node is compared with the bucket's smallest node, and its best such pair is verified by the exact overlap; this ties large
 groups of copies together without listing their pairs. What is left are pairs of one bucket in different components: these are
 all compared (in blocks, where a bucket is large) by signature, and verified exactly if the estimate is near the threshold.
 
 Classes are connected components; the class id is the smallest document id. Documents without words and documents with a null
-id are alike to nothing (a null id has a null class). A repeated id is one node, whatever its rows hold. Very long texts are
-taken whole. Only the id and text columns are read, so further columns can't clash.
+id are alike to nothing (a null id has a null class). A repeated id is in one class, which joins those of its contents. ``distinct``
+goes by the contents alone: unlike texts with one id both stay, and documents with a null id count. Very long texts are taken whole. Only the id and text columns are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -93,12 +93,17 @@ def _points(best, owner, seed, weight, low, length, bound) -> None:
         time = time - np.log(_uniform(draw)) / length
 
 
+def _key(text: Column) -> Column:
+    """Names a text; a null one is an empty one."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, content, signature): a hash of the multiset, and the signature; both null for documents without words."""
+    """(id, key, content, signature): names of the text and of its multiset, and the signature; the last two null without words."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held("words", WordHashes)
         for batch in rows:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             for a, b in ((i, j) for x, y in chunks([len(t) + 1 for t in texts], CHUNK) for i in range(x, y, DOCS)
                          for j in [min(y, i + DOCS)]):
                 owner, shingle, count = shingles(texts[a:b], WORDS, known)
@@ -107,12 +112,12 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 content = [xxhash.xxh3_128_digest(shingle[i:j].tobytes() + count[i:j].astype(np.int64).tobytes()) if i < j else None
                            for i, j in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(content, pa.binary()),
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(content, pa.binary()),
                      pa.array([s.tobytes() if c else None for s, c in zip(signed, content, strict=True)], pa.binary())],
-                    ["id", "content", "signature"])
+                    ["id", "key", "content", "signature"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda part: rest(batches(part)), "id long, content binary, signature binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda part: rest(batches(part)), "id long, key string, content binary, signature binary")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -194,22 +199,27 @@ def _in_blocks(open_rows: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, kept): one row per row of the input; kept where the id is the class's smallest."""
-    sketched = materialize(sketch(docs, id_col, text_col), "sketch")
-    known = sketched.where("id IS NOT NULL AND content IS NOT NULL")
-    copies = known.groupBy("content").agg(F.min("id").alias("node"))
-    # A repeated id with different texts is a node of several contents: links between them keep it whole.
-    of_content = known.select("id", "content").distinct().join(copies, "content").select("id", "node")
-    same = materialize(of_content.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v")), "copies")
-    nodes = materialize(known.join(copies.select("content", F.col("node").alias("id")), ["content", "id"], "left_semi")
-                        .groupBy("id").agg(F.min("signature").alias("signature")), "nodes")
+def _content_classes(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(content, component) of every content of the sketched rows, which all have one."""
+    # Every content has one text that stands for it. Numbers of nodes are written once, so they stay what they are.
+    named = sketched.groupBy("content").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("signature").alias("signature"))
+    written = materialize(named.select(F.monotonically_increasing_id().alias("id"), "content", "signature",
+                                       F.col("first.id").alias("of_id"), F.col("first.key").alias("key")), "contents")
+    nodes = written.select("id", "signature")
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", k * ROWS * 2 + 1, ROWS * 2)) for k in range(BANDS)))
     buckets = nodes.select("id", F.posexplode(bands).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(buckets.join(heads, "bucket"), "buckets")
     first = shared.where("id <> head").select("id", "head").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    # The rows with a node's id and text are equal: one of them is read.
+    def name(key: str, id_: str) -> Column:
+        return F.concat_ws(":", F.col(key), F.col(id_).cast("string")).alias("name")
+
+    wanted = shared.select("id").distinct().join(written.select("id", name("key", "of_id")), "id")
+    read = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")) \
+        .withColumn("key", _key(F.col("text"))).select(name("key", "row_id"), "text")
+    texts = materialize(read.join(wanted, "name").groupBy("name", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
     rated = first.join(nodes, "id").join(nodes.select(F.col("id").alias("head"), F.col("signature").alias("other")), "head") \
         .select("id", "head", _estimate("signature", "other").alias("estimate")).where(F.col("estimate") >= SURE_NO)
     best = rated.groupBy("id").agg(F.max(F.struct("estimate", (-F.col("head")).alias("minus"))).alias("best")) \
@@ -230,9 +240,48 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         fresh = materialize(pairs().distinct().join(tested, ["u", "v"], "left_anti"), "rest")
         links = materialize(links.unionByName(_verified(fresh, texts)), "links")
         tested = tested.unionByName(fresh)
-    # Representatives of copies and links between representatives together.
-    all_links = links.unionByName(same)
-    found = components(all_links)
-    rows = sketched.select("id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    smallest = F.coalesce("component", "id")
-    return rows.select(F.col("id").alias(id_col), smallest.alias("class_id"), (smallest == F.col("id")).alias("kept"))
+    found = components(links).withColumnRenamed("node", "id")
+    return materialize(written.select("id", "content").join(found, "id", "left")
+                       .select("content", F.coalesce("component", "id").alias("component")), "content-classes")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, kept): one row per row of the input; kept where the id is the class's smallest."""
+    sketched = materialize(sketch(docs, id_col, text_col), "sketch")
+    known = sketched.where("id IS NOT NULL AND content IS NOT NULL")
+    found = _content_classes(known, docs, id_col, text_col)
+    placed = materialize(known.select("id", "content").distinct().join(found, "content").select("id", "component").distinct(), "placed-ids")
+    # The classes of a repeated id's contents are one.
+    several = placed.groupBy("id").agg(F.min("component").alias("u"), F.max("component").alias("top")).where("u <> top").select("id", "u")
+    joins = materialize(placed.join(several, "id").where("component <> u").select("u", F.col("component").alias("v")).distinct(), "id-links")
+    united = placed.join(components(joins).select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left") \
+        .select("id", F.coalesce("whole", "component").alias("component"))
+    names = united.groupBy("component").agg(F.min("id").alias("class_id"))
+    of_id = united.distinct().join(names, "component").select("id", "class_id")
+    smallest = F.coalesce("class_id", "id")
+    return sketched.select("id").join(of_id, "id", "left") \
+        .select(F.col("id").alias(id_col), smallest.alias("class_id"), (smallest == F.col("id")).alias("kept"))
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every class of near-duplicate contents, whatever ids they have, with all columns: the one with the smallest id (null
+    ids last), of equal ids the first text by its md5, of equal texts the least row. Of the texts without words, which are alike to
+    nothing, all stay that differ in id or text, and all with a null id."""
+    sketched = materialize(sketch(docs, id_col, text_col), "sketch")
+    known = sketched.where("content IS NOT NULL")
+    found = _content_classes(known, docs, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    least = known.groupBy("content").agg(first).join(found, "content").groupBy("component").agg(F.min("first").alias("first"))
+    wordless = sketched.where("content IS NULL AND id IS NOT NULL").select("id", "key").distinct()
+    chosen = least.select("first.id", "first.key").unionByName(wordless)
+    kept = materialize(sketched.groupBy("id", "key").agg(F.count("*").alias("rows"))
+                       .join(chosen.withColumnsRenamed({"id": "of_id", "key": "of_key"}),
+                             F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi"), "kept")
+    bare = materialize(sketched.where("content IS NULL AND id IS NULL").select("key").distinct().select(
+        F.lit(None).cast("long").alias("id"), "key", F.lit(1).cast("long").alias("rows")), "kept-without-id")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.col(id_col).cast("long").alias("row_id"), _key(F.col(text_col)).alias("row_key"))
+    own = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key"))
+    once = rows.join(kept.where("rows = 1").unionByName(bare), own, "left_semi").select("row")
+    again = rows.join(kept.where("rows > 1"), own, "left_semi").groupBy("row_id", "row_key").agg(F.min("row").alias("row")).select("row")
+    return once.unionByName(again).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -330,3 +330,17 @@ def test_wrappers_and_sibling_articles():
     assert html_extract.main_text(f"<div><div>{text}</div>{talk}</div>") == plain
     two = f"<main><article>{text}</article><article><p>The second part, which is kept, too.</p></article><div class=ad>Buy, now.</div></main>"
     assert html_extract.main_text(two) == plain + "\n\nThe second part, which is kept, too."
+
+
+def test_unlike_documents_with_one_id(spark):
+    one, two, three = sentence(11, 80), sentence(12, 80), sentence(13, 80)
+    rows = [(1, one, 0), (1, two, 0), (2, one + " tail", 0), (3, two + " tail", 0), (4, three, 0), (None, three + " tail", 0),
+            (None, sentence(14, 80), 1), (None, sentence(14, 80), 2), (7, " ", 0), (7, " ", 0), (8, " ", 0), (None, "", 0), (None, "", 0)]
+    rows += [(9, sentence(100 + i, 80), 0) for i in range(20)] + [(10 + i, sentence(15, 80) + f" tail{i % 3}", 0) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = Counter(tuple(r) for r in bagminhash.distinct(frame).collect())
+    gone = {(2, one + " tail", 0), (3, two + " tail", 0), (None, three + " tail", 0), (None, sentence(14, 80), 2)} | set(rows[-39:])
+    assert got == Counter({r: 2 if r == (None, "", 0) else 1 for r in rows if r not in gone})
+    classes = Counter((r.doc_id, r.class_id) for r in bagminhash.classes(frame).collect())
+    assert classes == Counter((i, 1 if i in (1, 2, 3) else 10 if i and i >= 10 else i) for i, _, _ in rows)
+    assert bagminhash.distinct(frame.where("false")).count() == 0
