@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelscope.llm import backoff_lm, bagminhash, bpe, embeddings, host_quality, html_extract, langid, mixing, repair, secret_scan
+from parcelscope.llm import (
+    backoff_lm,
+    bagminhash,
+    bpe,
+    embeddings,
+    exact_dedup,
+    filter_audit,
+    host_quality,
+    html_extract,
+    langid,
+    mixing,
+    repair,
+    secret_scan,
+    vector_codes,
+)
 from parcelscope.llm.common import crc_class, table
 from parcelscope.session import checkpoint_dir
 
@@ -65,6 +79,18 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.marked(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sorted_projections": op2_sorted_projections,
@@ -76,10 +102,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repair_ids": op8_repair_ids,
     "op9_host_quality": op9_host_quality,
     "op10_html_text": op10_html_text,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sorted_projections": embeddings.SQL,
     "op5_mixing": mixing.SQL,
     "op9_host_quality": host_quality.SQL,
+    "op11_exact_dedup": exact_dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
