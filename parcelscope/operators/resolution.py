@@ -1,8 +1,9 @@
 """Fact resolution: from the append-only ledger to one record per property.
 
-Facts of a field compete within their group (property, entity, field). A winner is the least value of an ordering
-struct, so a partial aggregate reduces even a very large group before the exchange; no group is sorted or
-collected. Agreement between facts is counted from pre-aggregated values, never by pairing facts.
+Facts of a field compete within their group (property, entity, field). A winner has the least precedence, a number of
+fixed width, so a hash aggregate reduces even a very large group before the exchange; no group is sorted or collected.
+Texts decide only between facts of equal precedence. Agreement between facts is counted from pre-aggregated values, never
+by pairing facts.
 """
 
 from __future__ import annotations
@@ -53,6 +54,12 @@ CLOSED_MORTGAGE_STATUSES = ("paid off", "paid_off", "closed", "satisfied", "rele
 ACTIVE_SALE_STAGES = ("nod", "nts", "auction", "postponed", "scheduled", "active")
 
 
+# What decides between facts before their texts do, as one number: people first, then the score (at most 1, nine decimals),
+# then the tie value. A tie value is an amount as a double, below 10^15 in size with six decimals.
+PRECEDENCE = """CAST(CASE WHEN is_human THEN 0 ELSE 1 END * 10000000000L + CAST(round((2 - score) * 1000000000D) AS BIGINT) AS DECIMAL(11,0))
+    * CAST(10000000000000000000000BD AS DECIMAL(23,0)) + CAST(CAST(tie AS DECIMAL(21,6)) * 1000000BD + 1000000000000000000000BD AS DECIMAL(23,0))"""
+
+
 # --- typing and scores --------------------------------------------------------
 
 def alias_table(spark: SparkSession) -> DataFrame:
@@ -122,14 +129,17 @@ def agreement(facts: DataFrame) -> DataFrame:
                          WHEN stated_flag IS NOT NULL THEN concat('b:', CAST(stated_flag AS STRING))
                          WHEN stated_text IS NOT NULL THEN concat('t:', lower(stated_text)) END""")
     rows = facts.withColumn("agree_key", key)
-    stated = rows.where("agree_key IS NOT NULL")
-    same = stated.where("NOT is_money").groupBy(*GROUP, "agree_key", "report_id").agg(F.count("*").alias("n"))
+    # Only a group that several reports speak about can hold agreement; most groups are stated once and go no further.
+    several = facts.groupBy(*GROUP).agg(F.min("report_id").alias("least"), F.max("report_id").alias("most")).where("least <> most")
+    stated = rows.where("agree_key IS NOT NULL").join(several.select(*GROUP), GROUP, "left_semi") \
+        .groupBy(*GROUP, "agree_key", "report_id", "is_money").agg(F.count("*").alias("n"), F.max("num").alias("num"))
+    stated = materialize(stated, "stated")
+    same = stated.where("NOT is_money").drop("is_money", "num")
     total = same.groupBy(*GROUP, "agree_key").agg(F.sum("n").alias("total"))
     equal = same.join(total, [*GROUP, "agree_key"]).select(
         *GROUP, "agree_key", "report_id", (F.col("total") - F.col("n")).alias("agreeing"))
-    money = stated.where("is_money").groupBy(*GROUP, "agree_key", "report_id").agg(
-        F.count("*").alias("n"), F.first("num").alias("num"))
-    by_value = money.groupBy(*GROUP, "agree_key").agg(F.sum("n").alias("n"), F.first("num").alias("num"))
+    money = stated.where("is_money").drop("is_money")
+    by_value = money.groupBy(*GROUP, "agree_key").agg(F.sum("n").alias("n"), F.max("num").alias("num"))
     everyone = _near_totals(by_value, GROUP, "total").select(*GROUP, "agree_key", "total")
     own = _near_totals(money, [*GROUP, "report_id"], "own").select(*GROUP, "agree_key", "report_id", "own")
     near = own.join(everyone, [*GROUP, "agree_key"]).select(
@@ -159,22 +169,32 @@ def scored(facts: DataFrame, as_of: date, ocr: DataFrame | None = None) -> DataF
     size = "CAST(coalesce(num, 0) AS DOUBLE)"
     tie = f"""CASE WHEN leaf IN {one_of(LIABILITY_FIELDS)} THEN -{size}
                    WHEN leaf IN {one_of(ASSET_FIELDS)} THEN {size} ELSE 0D END"""
-    return rows.withColumn("score", F.expr(score)).withColumn("w", F.expr(f"""named_struct(
-        'not_human', NOT is_human, 'minus_score', -score, 'tie', {tie}, 'snippet', snippet,
+    return rows.withColumn("score", F.expr(score)).withColumn("tie", F.expr(tie)).withColumn("precedence", F.expr(PRECEDENCE)) \
+        .withColumn("w", F.expr("""named_struct(
+        'not_human', NOT is_human, 'minus_score', -score, 'tie', tie, 'snippet', snippet,
         'report', CAST(report_id AS STRING), 'path', field_path, 'fact_id', fact_id, 'num', num,
         'value', value_parsed, 'txt', txt, 'day', day, 'flag', flag, 'confidence', confidence, 'kind', kind,
-        'as_of', as_of)"""))
+        'as_of', as_of)""")).drop("tie")
 
 
 def field_resolutions(rows: DataFrame) -> DataFrame:
-    """Winner, score and number of contenders of every field, from scored facts."""
+    """Winner, score and number of contenders of every field, from scored facts.
+
+    The least precedence of a group is found first; its facts are looked up once, and only they compare texts.
+    """
     keys = GROUP[:-1]
-    best = rows.groupBy(*keys).agg(
-        F.min("w").alias("w"), F.count("*").alias("facts"), F.count_if("is_human").alias("human_facts"))
-    return best.select(*keys, F.col("w.fact_id").alias("winning_fact_id"), (-F.col("w.minus_score")).alias("score"),
-                       F.expr("CASE WHEN w.not_human THEN facts ELSE human_facts END - 1").alias("contenders"),
-                       F.expr("CASE WHEN w.not_human THEN 'auto' ELSE 'human_verified' END")
-                        .alias("verification_state"))
+    best = rows.groupBy(*keys).agg(F.min("precedence").alias("least"), F.count("*").alias("facts"), F.count_if("is_human").alias("human_facts"))
+    best = best.select(*(F.col(k).alias(f"best_{k}") for k in keys), "least", "facts", "human_facts")
+    leading = rows.select(*keys, "precedence", "score", "is_human", F.struct(
+        "snippet", F.col("report_id").cast("string").alias("report"), "field_path", "fact_id").alias("text"))
+    # An entry's key may be null.
+    met = [F.col(k).eqNullSafe(F.col(f"best_{k}")) if k == "entity_key" else F.col(k) == F.col(f"best_{k}") for k in keys]
+    led = leading.join(best, met).where("precedence <=> least")
+    won = led.groupBy(*keys).agg(F.min("text").alias("text"), F.max("score").alias("score"), F.bool_or("is_human").alias("by_human"),
+                                 F.max("facts").alias("facts"), F.max("human_facts").alias("human_facts"))
+    return won.select(*keys, F.col("text.fact_id").alias("winning_fact_id"), "score",
+                      F.expr("CASE WHEN by_human THEN human_facts ELSE facts END - 1").alias("contenders"),
+                      F.expr("CASE WHEN by_human THEN 'human_verified' ELSE 'auto' END").alias("verification_state"))
 
 
 def evidence(rows: DataFrame, resolutions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from parcelscope.operators import resolution
 from parcelscope.plans import driver_facts
 from parcelscope.plans.catalog import plain, query, step
 from parcelscope.plans.driver_tables import AS_OF
+from parcelscope.session import materialize
 
 DAY = date.fromisoformat(AS_OF)
 MONEY = "('" + "', '".join(resolution.MONEY_FIELDS) + "')"
@@ -110,7 +111,8 @@ def _typed(t):
 
 
 def _local(t):
-    typed = _typed(t).withColumn("entity_key", F.col("local_id"))
+    # Typed facts are a stored table; they are written here as they would be there.
+    typed = materialize(_typed(t), "typed").withColumn("entity_key", F.col("local_id"))
     ocr = driver_facts.reports(t)
     return resolution.scored(typed, DAY, ocr)
 

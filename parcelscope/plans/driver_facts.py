@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.plans.driver_tables import Tables
+from parcelscope.session import spread
 
 PRICE = "CAST(l_extendedprice AS DECIMAL(16,2))"
 DAY = "CAST(l_shipdate AS DATE)"
@@ -151,7 +152,7 @@ def ledger(t: Tables) -> DataFrame:
                         f"'value_date', {value(DATE, 'DATE')}, 'value_bool', {value(FLAG, 'BOOLEAN')})")
                 structs.append(f"CASE WHEN ({condition}) AND ({copy} = 0 OR l_suppkey % 3 <> 2) THEN {body} END")
         arms.append(f"WHEN {line} THEN array({', '.join(structs)})")
-    rows = t.source("lineitem").selectExpr(
+    rows = spread(t.source("lineitem"), "l_orderkey", "l_linenumber").selectExpr(
         "*", f"inline(array_compact(CASE l_linenumber {' '.join(arms)} END))")
     local = SHARED["local_id"]
     return rows.selectExpr(

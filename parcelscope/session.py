@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # when the split costs one more exchange before the aggregate that follows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A side whose partitions all turn out to be this small is hashed; neither side is sorted then.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 
@@ -55,3 +57,10 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows read by fewer tasks than the session has cores, dealt by their keys: a file with one row group is one task, whatever
+    work follows. Tables of many files are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)

@@ -111,3 +111,35 @@ def test_one_group_with_most_facts(spark):
         "CAST(0.9 AS DECIMAL(5,4)) AS confidence", "'report' AS kind", "false AS is_human", "true AS is_money", "'' AS entity_key")
     rows = resolution.scored(facts, AS_OF).agg(F.count("*").alias("n"), F.min("agreeing").alias("lo"), F.max("agreeing").alias("hi")).first()
     assert (rows.n, rows.lo, rows.hi) == (20000, 19999, 19999)
+
+
+def test_winners_equal_a_sort_of_every_group(spark):
+    """Precedence decides, then the texts; a group that holds a third of all facts, equal facts, people and entries without a key."""
+    rng = random.Random(11)
+    rows = []
+    for at in range(600):
+        property_id = 1 if at % 3 == 0 else rng.randrange(2, 40)
+        leaf = rng.choice(["mortgages.current_balance", "valuation.estimate", "liens.type"])
+        entity = {"m": "mortgage", "v": "valuation", "l": "lien"}[leaf[0]]
+        value = {"value_text": rng.choice(["Judgment", "hoa"])} if entity == "lien" else {"value_parsed": D(rng.choice(["1000", "-2500.25", "99000000000000"]))}
+        rows.append(fact(property_id, rng.randrange(1, 5), entity, rng.choice(["e1", "e2", None]), leaf, snippet=rng.choice("ab"),
+                         source_kind=rng.choice(["report", "api", "human"]) if at % 7 == 0 else "report", **value))
+    typed = resolution.typed_facts(ledger(spark, rows)).withColumn("entity_key", F.col("local_id"))
+    scored = resolution.scored(typed, AS_OF)
+    groups = {}
+    for row in scored.collect():
+        groups.setdefault((row.property_id, row.entity_type, row.entity_key, row.leaf), []).append(row)
+    wanted = set()
+    for key, own in groups.items():
+        best = min(own, key=lambda r: tuple(r.w)[:7])
+        rivals = sum(r.is_human for r in own) if best.is_human else len(own)
+        wanted.add((*key, best.fact_id, best.score, rivals - 1, "human_verified" if best.is_human else "auto"))
+    got = {tuple(row) for row in resolution.field_resolutions(scored).collect()}
+    assert got == wanted and any(key[2] is None for key in groups)
+
+
+def test_winners_do_not_sort_the_ledger(spark):
+    rows = ledger(spark, [fact(1, 1, "property", "p", "property.apn", value_text="A")])
+    scored = resolution.scored(resolution.typed_facts(rows).withColumn("entity_key", F.col("local_id")), AS_OF)
+    plan = scored.groupBy(*resolution.GROUP[:-1]).agg(F.min("precedence"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
