@@ -33,8 +33,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Ends the search for an element to close.
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
          "option": {"select"}, "tbody": {"table"}}
-DROPPED = frozenset("""script style noscript template head title nav footer aside form button select textarea input label iframe object
+DROPPED = frozenset("""script style noscript template head title nav footer aside button select textarea input label iframe object
     embed svg canvas audio video map dialog menu datalist""".split())
+#: What may stand in a head; anything else ends one that is not closed.
+IN_HEAD = frozenset("base link meta title noscript style script template".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 DROPPED_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted
     banner sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead topbar header footer cookie cookies consent
@@ -68,10 +70,16 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", {}, None)
         self.order = [self.root]
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of an unknown kind is a comment
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
+        if self.at.tag == "head" and tag not in IN_HEAD:
+            self.at = self.at.parent
         if tag in ("html", "body"):
-            if tag == "body" and self.at.tag == "head":
-                self.at = self.at.parent
             return
         if tag in BLOCKS and self._open("p", None):
             self._close("p", None)
@@ -92,6 +100,8 @@ class Tree(HTMLParser):
             self._close(tag, None if tag in BLOCKS else BLOCKS)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self.at = self.at.parent
         self.at.children.append(data)
 
     def _open(self, tag: str, stop) -> bool:
@@ -126,6 +136,8 @@ def _left_out(node: Node, in_article: bool) -> bool:
 
 def _named_out(node: Node, in_article: bool, page_len: int) -> bool:
     tag = node.tag
+    if tag == "form":  # one around the whole page is no form to fill in
+        return not node.holds_article and node.plain_len <= LITTLE * page_len
     if not node.attrs or tag == "header":
         return False
     if node.holds_article or tag in ("main", "article") and not _names(node) & {"comment", "comments", "ad", "related", "reply"}:
