@@ -18,12 +18,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelscope.session import materialize
 
 BLOCK = 32
+#: Links up to which the entries of one owner are solved in one task.
+SMALL = 4096
 
 
 @dataclass(frozen=True)
@@ -216,3 +219,39 @@ def components(edges: DataFrame) -> DataFrame:
         mark = following
     heads = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads).distinct()
+
+
+def _smallest(links: list[tuple[str, str]]) -> dict[str, str]:
+    """Smallest node of the component of every linked node."""
+    above: dict[str, str] = {}
+
+    def head(node: str) -> str:
+        while (up := above.setdefault(node, node)) != node:
+            above[node] = above[up]
+            node = up
+        return node
+
+    for u, v in links:
+        a, b = head(u), head(v)
+        above[max(a, b)] = min(a, b)
+    return {node: head(node) for node in list(above)}
+
+
+def components_within(edges: DataFrame) -> DataFrame:
+    """(node, component) as :func:`components`, for links (owner, u, v) that never leave their owner.
+
+    An owner with few links is solved where its links meet, after one exchange. Only owners with more than ``SMALL`` links go
+    through the rounds, so a portfolio without such owners takes none.
+    """
+    edges = materialize(edges.select("owner", "u", "v").where("u <> v").distinct(), "owned-links")
+    large = materialize(edges.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("owner"), "large-owners")
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def solve(rows: pa.Table) -> pa.Table:
+        found = _smallest(list(zip(rows["u"].to_pylist(), rows["v"].to_pylist(), strict=True)))
+        return pa.table({"node": pa.array(list(found), pa.string()), "component": pa.array(list(found.values()), pa.string())})
+
+    solved = edges.join(large, "owner", "left_anti").groupBy("owner").applyInArrow(solve, f"node {kind}, component {kind}")
+    if not large.limit(1).count():
+        return solved
+    return solved.unionByName(components(edges.join(large, "owner", "left_semi").select("u", "v")))

@@ -27,7 +27,7 @@ from parcelscope.functions.lookups import (
 )
 from parcelscope.functions.sql import amortised_balance, half_life, lookup, one_of, position, text
 from parcelscope.functions.text import canonical_lender, lenient_number, normalised_name, parsed_boolean
-from parcelscope.operators.linking import Closeness, components, links
+from parcelscope.operators.linking import Closeness, components_within, links
 from parcelscope.schemas import PORTFOLIO_SCHEMAS, Portfolio, conform
 from parcelscope.session import materialize
 
@@ -473,12 +473,20 @@ def _nodes(block: DataFrame, doc: str, name, day: str, amount: str) -> DataFrame
         F.expr(amount).alias("amount"))
 
 
-def entry_groups(nodes: DataFrame, close: Closeness) -> DataFrame:
-    """Smallest local id of the entries that are the same, for every entry that is not alone."""
-    found = components(links(nodes.drop("local_id"), close))
+def entry_groups(kinds: dict[str, tuple[DataFrame, Closeness]]) -> DataFrame:
+    """Smallest local id of the entries that are the same, for every entry that is not alone; all kinds of entities at once."""
+    nodes = edges = None
+    for kind, (own, close) in kinds.items():
+        own = materialize(own, f"{kind}-nodes")
+        named = own.select(F.concat(F.lit(f"{kind}|"), "node").alias("node"), "property_id", "local_id", F.lit(kind).alias("entity_type"))
+        linked = links(own.drop("local_id"), close).select(
+            F.concat(F.lit(f"{kind}|"), F.substring_index("u", "|", 1)).alias("owner"),
+            F.concat(F.lit(f"{kind}|"), "u").alias("u"), F.concat(F.lit(f"{kind}|"), "v").alias("v"))
+        nodes = named if nodes is None else nodes.unionByName(named)
+        edges = linked if edges is None else edges.unionByName(linked)
     heads = nodes.select(F.col("node").alias("component"), F.col("local_id").alias("entity_key"))
-    return (found.join(nodes.select("node", "property_id", "local_id"), "node").join(heads, "component")
-            .select("property_id", "local_id", "entity_key"))
+    return (components_within(edges).join(nodes, "node").join(heads, "component")
+            .select("entity_type", "property_id", "local_id", "entity_key"))
 
 
 def grouped_facts(typed: DataFrame, as_of: date, ocr: DataFrame | None = None) -> DataFrame:
@@ -493,11 +501,10 @@ def grouped_facts(typed: DataFrame, as_of: date, ocr: DataFrame | None = None) -
     local = materialize(scored(typed.where(wanted).withColumn("entity_key", F.col("local_id")), as_of, ocr)
                         .select("property_id", "local_id", "entity_type", "leaf", "w"), "local", ("entity_type",))
     keys = ["property_id", "entity_type", "local_id"]
-    mortgages = entry_groups(mortgage_nodes(local), SAME_MORTGAGE).withColumn("entity_type", F.lit("mortgage"))
-    liens = entry_groups(lien_nodes(local), SAME_LIEN).withColumn("entity_type", F.lit("lien"))
+    same = entry_groups({"mortgage": (mortgage_nodes(local), SAME_MORTGAGE), "lien": (lien_nodes(local), SAME_LIEN)})
     kinds = local.where("entity_type = 'valuation'").groupBy("property_id", "local_id").agg(*_winners("valuation_type")) \
         .selectExpr("property_id", "local_id", "lower(valuation_type_w.txt) AS entity_key", "'valuation' AS entity_type")
-    merged = mortgages.unionByName(liens).unionByName(kinds)
+    merged = same.unionByName(kinds)
     return typed.join(merged, keys, "left").withColumn("entity_key", F.expr(f"""
         CASE WHEN entity_type IN {one_of(WHOLE_PROPERTY)} THEN ''
              WHEN entity_type = 'valuation' THEN coalesce(entity_key, 'unknown')

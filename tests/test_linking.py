@@ -6,7 +6,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from parcelscope.operators.linking import Closeness, components, links
+from parcelscope.operators import linking
+from parcelscope.operators.linking import Closeness, components, components_within, links
 
 MORTGAGES = Closeness(days=30, share="0.01")
 LIENS = Closeness(days=7, difference="1")
@@ -84,3 +85,25 @@ def test_links_stay_linear_for_one_dense_property(spark):
                                   (F.col("id") % 20).cast("int").alias("day"),
                                   F.lit(100000).cast("decimal(16,2)").alias("amount"))
     assert links(df, MORTGAGES).count() < 10 * 3000
+
+
+@pytest.mark.parametrize("small", [4096, 6])
+def test_components_within_owners(spark, monkeypatch, small):
+    """Owners with few links are solved where they are, the others by rounds; chains, stars, repeated links and loops of one node."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    rng = random.Random(small)
+    edges = [(f"o{owner}", f"{owner}-{at:02d}", f"{owner}-{at + 1:02d}") for owner in range(5) for at in range(owner * 4)]
+    edges += [(f"o{owner}", f"{owner}-{rng.randrange(40):02d}", f"{owner}-{rng.randrange(40):02d}") for owner in range(5, 9) for _ in range(8)]
+    edges += [*edges[:3], ("o9", "9-01", "9-01")]
+    parent = {node: node for _, u, v in edges for node in (u, v)}
+
+    def find(node):
+        return node if parent[node] == node else find(parent[node])
+
+    for _, u, v in edges:
+        low, high = sorted((find(u), find(v)))
+        parent[high] = low
+    linked = {node for _, u, v in edges if u != v for node in (u, v)}
+    got = {(row.node, row.component) for row in components_within(spark.createDataFrame(edges, "owner string, u string, v string")).collect()}
+    assert got == {(node, find(node)) for node in linked}
+    assert components_within(spark.createDataFrame([], "owner string, u string, v string")).count() == 0
