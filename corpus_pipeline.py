@@ -61,7 +61,7 @@ STAGES = [
     ("byte-level BPE", token_ids),
 ]
 
-#: Language ID, signatures and token ids cannot be expressed in SQL; a test compares each stage with brute force.
+#: Language ID, signatures and token ids cannot be expressed in SQL; tests/llm tests the operator of each stage.
 ORACLE_SQL = None
 
 
