@@ -91,11 +91,27 @@ def typed_facts(facts: DataFrame) -> DataFrame:
 
 
 # Two amounts agree when the smaller is at least 0.98 of the larger. On a logarithmic axis in steps of 1e-14 that is a
-# fixed distance; two steps are added for the rounding of the logarithm. Amounts to the cent below 100 billion are told
-# apart exactly.
+# fixed distance. Amounts of 20 digits are rounded on that axis by less than two steps each: nearer than SURE they agree,
+# beyond NEAR they don't, and the few pairs in between are compared as decimals.
 LOG_STEPS = 100_000_000_000_000
-NEAR = int(-math.log(0.98) * LOG_STEPS) + 2
+SURE = int(-math.log(0.98) * LOG_STEPS) - 5
+NEAR = SURE + 10
 CELL = 10 * NEAR
+EDGE_CELL = 16
+
+
+def _edge_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight of the values that agree with a value and lie within rounding of the border."""
+    place = [*keys, "sign"]
+    cells = F.array_distinct(F.array(*(F.floor((F.col("axis") + reach) / EDGE_CELL) for reach in (SURE + 1, NEAR))))
+    low = rows.select(*place, "agree_key", "axis", "num", "n", F.explode(cells).alias("cell"))
+    high = rows.select(*place, F.floor(F.col("axis") / EDGE_CELL).alias("cell"), F.col("agree_key").alias("high_key"),
+                       F.col("axis").alias("high_axis"), F.col("num").alias("high_num"), F.col("n").alias("high_n"))
+    met = low.join(high, [*place, "cell"]).where(f"high_axis - axis BETWEEN {SURE + 1} AND {NEAR}") \
+        .where("50 * CAST(abs(num) AS DECIMAL(22,6)) >= 49 * CAST(abs(high_num) AS DECIMAL(22,6))")
+    both = met.select(*keys, F.explode(F.array(F.struct("agree_key", F.col("high_n").alias("n")),
+                                               F.struct(F.col("high_key").alias("agree_key"), "n"))).alias("x"))
+    return both.groupBy(*keys, F.col("x.agree_key").alias("agree_key")).agg(F.sum("x.n").alias("at_edge"))
 
 
 def _near_totals(values: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -112,10 +128,12 @@ def _near_totals(values: DataFrame, keys: list[str], name: str) -> DataFrame:
     after = f"CASE WHEN (cell + 1) * {CELL}L - axis <= {NEAR}L THEN struct(cell + 1 AS place, false AS asks) END"
     placed = rows.selectExpr("*", f"inline(array_compact(array(struct(cell AS place, true AS asks), {before}, {after})))")
     line = Window.partitionBy(*keys, "sign", "place").orderBy("axis")
-    up_to = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, NEAR))
-    below = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, -NEAR - 1))
-    return (placed.withColumn(name, up_to - F.coalesce(below, F.lit(0))).where("asks")
-            .drop("sign", "axis", "cell", "place", "asks"))
+    up_to = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, SURE))
+    below = F.sum("n").over(line.rangeBetween(Window.unboundedPreceding, -SURE - 1))
+    counted = placed.withColumn("inside", up_to - F.coalesce(below, F.lit(0))).where("asks")
+    return (counted.join(_edge_totals(rows, keys), [*keys, "agree_key"], "left")
+            .withColumn(name, F.col("inside") + F.coalesce("at_edge", F.lit(0)))
+            .drop("sign", "axis", "cell", "place", "asks", "inside", "at_edge"))
 
 
 def agreement(facts: DataFrame) -> DataFrame:

@@ -143,3 +143,17 @@ def test_winners_do_not_sort_the_ledger(spark):
     scored = resolution.scored(resolution.typed_facts(rows).withColumn("entity_key", F.col("local_id")), AS_OF)
     plan = scored.groupBy(*resolution.GROUP[:-1]).agg(F.min("precedence"))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_agreement_is_exact_at_the_border(spark):
+    """Amounts above 100 billion with six decimals, one millionth inside, on and outside two percent, of either sign."""
+    amounts = []
+    for large in (D("123456789012.345650"), D("99999999999999.000050"), D("700000000001.000000"), D("50.000000")):
+        edge = (large * 49 / 50).quantize(D("0.000001"))
+        amounts += [sign * x for sign in (1, -1) for x in (large, edge - D("0.000002"), edge - D("0.000001"), edge, edge + D("0.000001"))]
+    amounts += [D(0), amounts[0]]
+    rows = [fact(1, at, "valuation", "v", "valuation.estimate", value_parsed=x) for at, x in enumerate(amounts)]
+    typed = resolution.typed_facts(ledger(spark, rows)).withColumn("entity_key", F.col("local_id"))
+    got = {row.report_id: row.agreeing for row in resolution.agreement(typed).collect()}
+    wanted = {at: sum(i != at and abs(x - y) <= D("0.02") * max(abs(x), abs(y)) for i, y in enumerate(amounts)) for at, x in enumerate(amounts)}
+    assert got == wanted
