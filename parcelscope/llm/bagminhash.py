@@ -9,7 +9,8 @@ Points are made in order of time and only up to a bound that shrinks with a docu
 Bands of the signature give candidate pairs. A node is a content: all documents with equal multisets. In every band's bucket
 a node is compared with the bucket's smallest node, and its best such pair is verified by the exact overlap; this ties large
 groups of copies together without listing their pairs. What is left are pairs of one bucket in different components: these are
-all compared (in blocks, where a bucket is large) by signature, and verified exactly if the estimate is near the threshold.
+all compared by signature and verified exactly if the estimate is near the threshold; in blocks, where a bucket is large, and there
+unless verified links of the block join the two already, so that a block gives a spanning forest instead of its pairs.
 
 Classes are connected components; the class id is the smallest document id. Documents without words and documents with a null
 id are alike to nothing (a null id has a null class). A repeated id is in one class, which joins those of its contents. ``distinct``
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelscope.llm.common import chunks, held, mix64, rest, texts_of
-from parcelscope.llm.shingles import WordHashes, overlaps, shingles
+from parcelscope.llm.shingles import BITS, WordHashes, overlaps, shingles
 from parcelscope.operators.linking import components
 from parcelscope.session import materialize
 
@@ -42,11 +43,17 @@ SIZE = BANDS * ROWS
 #: An estimate this many standard deviations below the threshold rules a pair out (2 in 10,000 of those at the threshold).
 DEVIATIONS = 3.5
 SURE_NO = SIMILAR - DEVIATIONS * (SIMILAR * (1 - SIMILAR) / SIZE) ** 0.5
-CHUNK, DOCS = 1 << 19, 1024
+CHUNK, DOCS = 1 << 20, 1024
 #: Documents of a bucket compared by a join, and in one block of a larger bucket.
 SMALL, BLOCK = 16, 1024
-#: The first bound on times leaves a component empty in about 1 of 50 documents, which are then done again.
-SPARE = 4.0
+#: Bytes of the texts in one block, and shingles of the pairs verified at a time there.
+BLOCK_BYTES, VERIFIED = 16 << 20, 1 << 20
+#: Times are run through in steps, in units of the mean time between two points of a component. At the end of the first step
+#: about a third of the documents have a point in every component, at the end of each further one a larger share of the rest.
+FIRST_STEP, STEP = float(np.log(SIZE)), 0.75
+#: Points made at once by few processes, the least number of points of a process, and what leads from one draw to the next.
+AT_ONCE, LEAST_AHEAD = 1 << 15, 2
+NEXT = np.uint64(0xE7037ED1A0B428DB)
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -57,40 +64,54 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, docs:
     """(documents, SIZE) signature values as 16-bit hashes of the earliest points; rows of documents without shingles are 0."""
     weight = np.bincount(owner, count, docs)
     best = np.full(docs * SIZE, np.inf)
-    bound = np.where(weight > 0, SIZE * (np.log(SIZE) + SPARE) / np.maximum(weight, 1), 0.0)
-    left = weight > 0
+    running = []
+    low, length = 0, 1
+    while len(owner):
+        seed = mix64(shingle * np.uint64(64) + np.uint64(low.bit_length() + 1))
+        running.append((low, length, (owner, np.log(_uniform(mix64(seed))) / -length, seed, count)))
+        more = count > low + length
+        owner, shingle, count = owner[more], shingle[more], count[more]
+        low, length = low + length, low + length
+    left, until = weight > 0, FIRST_STEP
     while left.any():
-        took = left[owner]
-        own, seen, times = owner[took], shingle[took], count[took]
-        level = 0
-        while len(own):
-            low, length = (0, 1) if level == 0 else (1 << level - 1, 1 << level - 1)
-            _points(best, own, mix64(seen * np.uint64(64) + np.uint64(level + 1)), times, low, length, bound)
-            more = times > low + length
-            own, seen, times = own[more], seen[more], times[more]
-            level += 1
-        empty = np.isinf(best.reshape(docs, SIZE)).any(axis=1)
-        left &= empty
-        bound[left] *= 2
+        bound = np.where(left, SIZE * until / np.maximum(weight, 1), 0.0)
+        running = [(low, length, _points(best, points, low, length, bound)) for low, length, points in running]
+        left &= np.isinf(best.reshape(docs, SIZE)).any(axis=1)
+        running = [(low, length, tuple(x[on] for x in points)) for low, length, points in running for on in [left[points[0]]]]
+        until += STEP
     bits = mix64(best.view(np.uint64)) >> np.uint64(48)
     return np.where(np.isinf(best), 0, bits).astype(np.uint16).reshape(docs, SIZE)
 
 
-def _points(best, owner, seed, weight, low, length, bound) -> None:
-    """Run the processes of one interval up to the bounds and keep each component's earliest point below the weight."""
-    time, draw = -np.log(_uniform(seed)) / length, seed
+def _points(best, points, low, length, bound):
+    """Run the processes of one interval up to the bounds and keep each component's earliest point below the weight; the first
+    points beyond the bounds. Few processes make many points at a time; a point's draw goes by its number alone."""
+    owner, time, draw, weight = points
+    later = []
     while True:
         on = time < bound[owner]
+        off, on = np.flatnonzero(~on), np.flatnonzero(on)
+        later.append((owner[off], time[off], draw[off], weight[off]))
         owner, time, draw, weight = owner[on], time[on], draw[on], weight[on]
         if not len(owner):
-            return
-        place = mix64(draw ^ np.uint64(0xA0761D6478BD642F))
-        slot, kept = owner * SIZE + (place % np.uint64(SIZE)).astype(np.int64), slice(None)
+            return tuple(np.concatenate(x) for x in zip(*later, strict=True))
+        ahead = min(max(AT_ONCE // len(owner), LEAST_AHEAD), 256)
+        drawn = mix64(draw + NEXT * np.arange(ahead + 1, dtype=np.uint64)[:, None])
+        times = np.empty(drawn.shape)
+        times[0] = time
+        times[1:] = np.log(_uniform(drawn[1:])) / -length
+        times = np.cumsum(times, axis=0, out=times)
+        early = times[:-1] < bound[owner]
+        passed = early.sum(axis=0)
+        at, process = np.nonzero(early)
+        place = mix64(drawn[at, process] ^ np.uint64(0xA0761D6478BD642F))
+        slot, first = owner[process] * SIZE + ((place >> np.uint64(32)) * np.uint64(SIZE) >> np.uint64(32)).astype(np.int64), times[at, process]
         if length > 1:  # the halves of an interval are chosen by the bits of a point's level
-            kept = low + ((place >> np.uint64(32)) & np.uint64(length - 1)).astype(np.int64) < weight
-        np.minimum.at(best, slot[kept], time[kept])
-        draw = mix64(draw + np.uint64(0xE7037ED1A0B428DB))
-        time = time - np.log(_uniform(draw)) / length
+            kept = low + (place & np.uint64(length - 1)).astype(np.int64) < weight[process]
+            slot, first = slot[kept], first[kept]
+        np.minimum.at(best, slot, first)
+        time = times[passed, np.arange(len(owner))]
+        draw = draw + NEXT * passed.astype(np.uint64)
 
 
 def _key(text: Column) -> Column:
@@ -147,56 +168,106 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(_alike("left", "right")).select("u", "v")
 
 
-def _blocks_of(rows: DataFrame, size: Column) -> DataFrame:
-    """Every row once per pair of blocks that its block is in."""
-    n = F.ceil(size / BLOCK).cast("int")
+def _blocks_of(rows: DataFrame) -> DataFrame:
+    """Every row of a bucket once per pair of blocks that its block is in; blocks hold few rows and, on average, few bytes."""
+    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     return rows.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), n - 1))) \
-        .select(*rows.columns, "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-
-
-def _near_in_block(best: bool):
-    """Pairs of different components with a near estimate, one of each block or both of the one block: for every two components
-    the nearest pair, or all of them. A pair belongs to the first band it shares, so no other bucket gives it again."""
-    def near_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high, band = rows["low"].iat[0], rows["high"].iat[0], rows["band"].iat[0]
-        one, two = rows[rows["block"] == low], rows[rows["block"] == high]
-        nearest: dict[tuple[int, int], tuple[int, int, int]] = {}
-        out = []
-        x = np.frombuffer(b"".join(two["signature"]), np.uint16).reshape(-1, SIZE)
-        ids, groups = two["id"].to_numpy(), two["component"].to_numpy()
-        for u, component, signature in zip(one["id"], one["component"], one["signature"], strict=True):
-            other = np.flatnonzero((groups != component) & ((ids > u) | (low != high)))
-            if not len(other):
-                continue
-            same = x[other] == np.frombuffer(signature, np.uint16)
-            equal = same.sum(axis=1)
-            near = equal >= SURE_NO * SIZE
-            near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            for v, theirs, n in zip(ids[other[near]].tolist(), groups[other[near]].tolist(), equal[near].tolist(), strict=True):
-                if not best:
-                    out.append((u, v))
-                elif n > nearest.get(pair := (min(component, theirs), max(component, theirs)), (-1,))[0]:
-                    nearest[pair] = (n, u, v)
-        out.extend((u, v) for _, u, v in nearest.values())
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
-
-    return near_pairs
-
-
-def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, bucket, band, component, size) of the buckets that hold more than one component of the links."""
-    placed = materialize(shared.select("id", "bucket", "band").join(components(links).withColumnRenamed("node", "id"), "id", "left")
-                         .select("id", "bucket", "band", F.coalesce("component", "id").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")) \
-        .where("a <> b").select("bucket", "size")
-    return placed.join(mixed, "bucket")
-
-
-def _in_blocks(open_rows: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    large = _blocks_of(open_rows.where(F.col("size") > SMALL).join(nodes, "id"), F.col("size"))
-    found = large.groupBy("bucket", "low", "high").applyInPandas(_near_in_block(best), "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        .select("bucket", "band", "id", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+
+
+class Bags:
+    """The shingles of some texts, to verify pairs of them."""
+
+    def __init__(self, texts: list[str]):
+        known, parts = held("words", WordHashes), []
+        for a, b in chunks([len(t) + 1 for t in texts], CHUNK):
+            owner, shingle, count = shingles(texts[a:b], WORDS, known)
+            parts.append((owner + a, shingle, count))
+        owner, self.shingle, self.count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.start = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.size = np.diff(self.start)
+        self.weight = np.bincount(owner, self.count, len(texts)).astype(np.int64)
+
+    def _of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the pair and shingle, count) of the texts that stand on one side of the pairs."""
+        sizes = self.size[texts]
+        pair = np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(pair)) + np.repeat(self.start[texts] - (np.cumsum(sizes) - sizes), sizes)
+        return pair.astype(np.uint64) << np.uint64(BITS) | self.shingle[at], self.count[at]
+
+    def alike(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Which pairs overlap enough; pairs whose weights alone rule it out are not compared."""
+        low, high = np.sort([self.weight[first], self.weight[second]], axis=0)
+        out = low * 5 >= high * 4
+        left = np.flatnonzero(out)
+        for a, b in chunks((self.size[first[left]] + self.size[second[left]]).tolist(), VERIFIED):
+            pairs = left[a:b]
+            (x, c), (y, d) = self._of(first[pairs]), self._of(second[pairs])
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            least = np.bincount((x[i] >> np.uint64(BITS)).astype(np.int64), np.minimum(c[i], d[j]), len(pairs)).astype(np.int64)
+            out[pairs] = least * 5 >= (self.weight[first[pairs]] + self.weight[second[pairs]] - least) * 4
+        return out
+
+
+def _near_pairs(x: np.ndarray, one: np.ndarray, two: np.ndarray, groups: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of each block or both of the one block, of different groups with a near estimate, nearest first. A pair
+    belongs to the first band it shares, so no other bucket gives it again."""
+    us, vs, equals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, u in enumerate(one.tolist()):
+        other = two[at + 1:] if one is two else two
+        other = other[groups[other] != groups[u]]
+        same = x[other] == x[u]
+        equal = same.sum(axis=1)
+        near = equal >= SURE_NO * SIZE
+        near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        us.append(np.full(int(near.sum()), u))
+        vs.append(other[near])
+        equals.append(equal[near])
+    order = np.argsort(-np.concatenate(equals), kind="stable")
+    return np.concatenate(us)[order], np.concatenate(vs)[order]
+
+
+def _tied_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Verified links that join the components of a pair of blocks as all their near pairs would: a spanning forest. A pair is
+    verified unless links found before it join its components already; pairs that fail never leave the task."""
+    low, high, band = rows["low"].iat[0], rows["high"].iat[0], int(rows["band"].iat[0])
+    rows = rows.sort_values("id")
+    ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
+    one = two = np.flatnonzero(block == low)
+    if low != high:
+        two = np.flatnonzero(block == high)
+    group = np.unique(rows["component"], return_inverse=True)[1]
+    x = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SIZE)
+    u, v = _near_pairs(x, one, two, group, band)
+    if not len(u):
+        return pd.DataFrame({"u": ids[:0], "v": ids[:0]})
+    used = np.unique(np.concatenate([u, v]))
+    bags = Bags([rows["text"].iat[i] for i in used.tolist()])
+    out, step = [], 64
+    while len(u):
+        now = slice(0, step)
+        good = np.flatnonzero(bags.alike(np.searchsorted(used, u[now]), np.searchsorted(used, v[now])))
+        for k in good.tolist():
+            a, b = group[u[k]], group[v[k]]
+            if a != b:
+                group[group == b] = a
+                out.append((ids[u[k]], ids[v[k]]))
+        u, v = u[step:], v[step:]
+        apart = group[u] != group[v]
+        u, v, step = u[apart], v[apart], min(2 * step, 1 << 14)
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
+def _open(shared: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, bucket, band, component, size, bytes) of the buckets that hold more than one component of the links."""
+    placed = shared.select("id", "bucket", "band").join(components(links).withColumnRenamed("node", "id"), "id", "left") \
+        .join(texts.select("id", F.octet_length("text").alias("bytes")), "id") \
+        .select("id", "bucket", "band", F.coalesce("component", "id").alias("component"), "bytes")
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), F.min("component").alias("a"),
+                                         F.max("component").alias("b")).where("a <> b").select("bucket", "size", "bytes")
+    return placed.drop("bytes").join(mixed, "bucket")
 
 
 def _content_classes(sketched: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,19 +298,18 @@ def _content_classes(sketched: DataFrame, docs: DataFrame, id_col: str, text_col
     best = materialize(best, "best")
     links = materialize(_verified(best, texts), "links")
     tested = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    open_rows = _open(shared, links)
+    open_rows = _open(shared, links, texts)
     small = open_rows.where(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("id").alias("v"), F.col("component").alias("theirs"))
     few = small.join(other, "bucket").where("id < v AND component <> theirs").select(F.col("id").alias("u"), "v").distinct()
     few = few.join(nodes.select(F.col("id").alias("u"), F.col("signature").alias("x")), "u") \
         .join(nodes.select(F.col("id").alias("v"), F.col("signature").alias("y")), "v") \
         .where(_estimate("x", "y") >= SURE_NO).select("u", "v")
-    # In large buckets first the nearest pair of every two components; most of them become one by it. Then all pairs that are left.
-    for pairs in (lambda: few.unionByName(_in_blocks(open_rows, nodes, True)),
-                  lambda: _in_blocks(_open(shared.where(F.col("size") > SMALL), links), nodes, False)):
-        fresh = materialize(pairs().distinct().join(tested, ["u", "v"], "left_anti"), "rest")
-        links = materialize(links.unionByName(_verified(fresh, texts)), "links")
-        tested = tested.unionByName(fresh)
+    fresh = materialize(few.join(tested, ["u", "v"], "left_anti"), "rest")
+    # Texts come to a block once; what is tied there leaves it as few links.
+    large = _blocks_of(open_rows.where(F.col("size") > SMALL)).join(nodes.join(texts, "id"), "id")
+    tied = materialize(large.groupBy("bucket", "low", "high").applyInPandas(_tied_in_block, "u long, v long"), "tied")
+    links = materialize(links.unionByName(_verified(fresh, texts)).unionByName(tied), "links")
     found = components(links).withColumnRenamed("node", "id")
     return materialize(written.select("id", "content").join(found, "id", "left")
                        .select("content", F.coalesce("component", "id").alias("component")), "content-classes")
