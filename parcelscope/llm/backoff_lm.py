@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import mix64, size_of, texts_of
+from parcelscope.llm.common import mix64, text_bytes, texts_of
 from parcelscope.session import materialize
 
 #: Weight of the unigram model in a state, in tokens.
 MASS = 20.0
-#: Bytes of the input's files per chunk.
-CHUNK_BYTES = 3 << 19
+#: Bytes of the texts of a chunk, and chunks whose n-grams one range of the hash holds.
+CHUNK_BYTES, CHUNKS_OF_RANGE = 8 << 20, 8
 #: Tokens no text can hold: they contain white space.
 START, END = b"\t", b"\n"
 FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -179,18 +179,19 @@ def _score(tokens: int, types: int, kind: pa.DataType):
     return score
 
 
-def chunk_count(docs: DataFrame) -> int:
-    """Chunks (and ranges of the hash) in proportion to the input's bytes."""
+def layout(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Chunks in proportion to the bytes of the texts, and ranges of the hash in proportion to the chunks."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-size_of(docs) // CHUNK_BYTES))
+    chunks = max(least, -(-text_bytes(docs, text_col) // CHUNK_BYTES))
+    return chunks, max(least, -(-chunks // CHUNKS_OF_RANGE))
 
 
 def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from the rows ``learned`` selects."""
-    parts = chunk_count(docs)
+    chunks, parts = layout(docs, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), learned.alias("learned"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")).withColumn("parts", F.lit(parts))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).withColumn("parts", F.lit(parts))
     sent = rows.groupBy("chunk").applyInArrow(_send(parts), SENT)
     sums = materialize(sent.groupBy("part").applyInArrow(_add_up, SUMS), "gram-sums")
     every = sums.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()

@@ -90,9 +90,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes of the files behind a frame as Spark estimates them, to size partitions; 0 if unknown."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except (AttributeError, ValueError):
-        return 0
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, to size partitions; counted, as estimates know nothing of frames that aren't plain files."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

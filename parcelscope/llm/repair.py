@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelscope.llm.bpe import packed_ids
-from parcelscope.llm.common import BROADCAST_ROWS, held, size_of, texts_of
+from parcelscope.llm.common import BROADCAST_ROWS, held, text_bytes, texts_of
 
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIIII")
@@ -39,7 +39,7 @@ TOGETHER, LEAST = 2048, 32
 TABLE_BITS = 18
 #: Slices a worker keeps the ids of.
 KEPT = 1_200_000
-#: Bytes of the input's files per range of ids.
+#: Bytes of the texts per range of ids.
 RANGE_BYTES = 16 << 20
 
 
@@ -222,7 +222,7 @@ def write(docs: DataFrame, path: str, library_path: str, id_col: str = "doc_id",
         if packed:
             yield shard()
 
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_of(docs) // RANGE_BYTES))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text_col) // RANGE_BYTES))
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Ranges by the id alone: the sample that finds them goes to the driver, and texts must not.
     read.repartitionByRange(ranges, F.col("id").asc_nulls_last()) \
