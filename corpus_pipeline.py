@@ -6,14 +6,13 @@ Null texts, repeated rows and null ids are treated as the operators' docstrings
 
 from __future__ import annotations
 
-from functools import reduce
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelscope.llm import bagminhash, bpe, langid, mixing, secret_scan
 from parcelscope.llm.common import crc_class, small_batches
+from parcelscope.session import materialize
 
 #: Below this score no language claims a document.
 LEAST_SCORE = 0.25
@@ -61,10 +60,13 @@ STAGES = [
     ("byte-level BPE", token_ids),
 ]
 
-#: Language ID, signatures and token ids cannot be expressed in SQL; tests/llm tests the operator of each stage.
+#: Language ID, signatures and token ids cannot be expressed in SQL; tests/llm compares the run with the brute force of its stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage returns is written and read again, so that no later read of it computes it anew."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda rows, stage: stage[1](spark, rows, sf_dir), STAGES, docs)
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{at}")
+    return STAGES[-1][1](spark, docs, sf_dir)
