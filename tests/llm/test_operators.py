@@ -284,7 +284,7 @@ def test_near_vectors_of_a_dense_label(spark, monkeypatch):
     links = x_unit @ x_unit.T >= embeddings.NEAR
     np.fill_diagonal(links, False)
     frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int")
-    rows = embeddings.usable(frame, "vec_id", "embedding", "label")
+    rows = embeddings.usable(frame, "vec_id", "embedding", "label").withColumn("key", F.col("id"))
     assert embeddings._bits_by_label(rows.where("id < 2000")).first().bits > 0
     got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
     assert links[:200].any(axis=1).sum() > 100
@@ -292,6 +292,35 @@ def test_near_vectors_of_a_dense_label(spark, monkeypatch):
     assert all(got[i].component_id == n - 1 and got[i].kept == (i == n - 1) for i in range(n - 1, len(x)))
 
 
+def test_near_vectors_of_a_sparse_and_a_dense_label(spark):
+    """Default constants: windows and long runs find isolated pairs at the threshold; sizes of any magnitude have a cosine."""
+    rng = np.random.default_rng(5)
+    sparse = rng.standard_normal((3000, 32))
+    dense = 3 * np.ones(32) / np.sqrt(32) + rng.standard_normal((2000, 32)) / np.sqrt(32)
+    sparse /= np.linalg.norm(sparse, axis=1)[:, None]
+    sparse[1:601:2] = sparse[:600:2] + 0.385 * rng.standard_normal((300, 32)) / np.sqrt(32)
+    sparse[:300] *= 10.0 ** rng.integers(-170, 160, 300)[:, None]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(sparse)] + [(10_000 + i, v.tolist(), 2) for i, v in enumerate(dense)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    kept = embeddings.usable(frame, "vec_id", "embedding", "label").withColumn("key", F.col("id"))
+    assert {r.of_label: r.bits > 0 for r in embeddings._bits_by_label(kept).collect()} == {1: True, 2: True}
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    for first, x in ((0, sparse), (10_000, dense)):
+        x = x / np.abs(x).max(axis=1)[:, None]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        links = x @ x.T >= embeddings.NEAR
+        np.fill_diagonal(links, False)
+        least = np.arange(len(x))
+        while True:
+            lower = np.minimum(least, np.where(links, least[None, :], len(x)).min(axis=1))
+            if (lower == least).all():
+                break
+            least = lower
+        assert links.sum() > 100
+        assert [got[first + i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
+        assert [got[first + i].component_id - first for i in range(len(x))] == least.tolist()
+
+
 def test_grammar_leaves_no_frequent_pair():
     passage = np.random.default_rng(9).integers(1, 50_000, 2000).astype(np.uint32)
     documents = np.full(100, 2001)
