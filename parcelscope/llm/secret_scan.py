@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ CLASSES = (
 PLAIN = r"^[a-z+/_=-]+$|^[A-Z+/_=-]+$|^[0-9+/_=-]+$"
 FILLER = r"(?i:example|sample|placeholder|dummy|changeme|x{4,}|abcdef0?123(?:456789)?|0123456789)|(.)\1{7,}"
 ALLOWED = f"{PLAIN}|{FILLER}"
+#: Windows in one traversal of a candidate, bits of a count and counts in one integer of a window's counts.
+STRETCH, COUNT_BITS, PACKED = 512, 5, 12
 LOCATED = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -50,37 +54,77 @@ def _located(text: Column, pattern: str, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, add, lambda s: s["spans"])).otherwise(F.array().cast(LOCATED))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` reads it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _entropy_spans(candidate: Column, alphabet: str, width: int, least: float) -> Column:
     """Joined windows of a candidate whose entropy is ``least`` or more, as (from, to) within it.
 
     The entropy of a window of w characters is log2(w) - sum(c * log2 c) / w, so a threshold on the entropy is one on the sum.
+    A window's counts are packed into a few integers, so a step changes one count of each of two of them whatever the alphabet.
+    The candidate is traversed in stretches of ``STRETCH`` windows: a stretch's list of spans stays short, and time is linear.
     """
     weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 1)))
     limit = width * (math.log2(width) - least) + 1e-9
-    chars = F.transform(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
+    # A character's place among the counts: its integer times 64, plus its bit.
+    places = F.array(*(F.lit(i // PACKED * 64 + i % PACKED * COUNT_BITS) for i in range(len(alphabet))))
+    words = [f"counts{i}" for i in range(-(-len(alphabet) // PACKED))]
+
+    def word(place: Column) -> Column:
+        return F.shiftright(place, 6)
+
+    def bit(place: Column) -> Column:
+        return place.bitwiseAND(F.lit(63))
+
+    def one(place: Column, i: int) -> Column:
+        return F.when(word(place) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit(place))).otherwise(F.lit(0).cast("long"))
+
+    def count(state: Column, place: Column) -> Column:
+        counts = F.get(F.array(*(state[w] for w in words)), word(place))
+        return F.call_function("shiftright", counts, bit(place)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
 
     def step(state: Column, item: Column) -> Column:
-        enters, leaves, counts = item["enters"], item["leaves"], state["counts"]
-        more, less = F.element_at(counts, enters), F.get(counts, leaves - 1)
+        enters, leaves = item["enters"], item["leaves"]
+        more, less = count(state, enters), count(state, leaves)
         total = state["sum"] + F.when(enters == leaves, F.lit(0.0)).otherwise(
             F.get(weight, more + 1) - F.get(weight, more)
-            + F.when(leaves > 0, F.get(weight, less - 1) - F.get(weight, less)).otherwise(0.0))
-        found = state["found"]
-        last, begin = F.get(found, F.size(found) - 1), item["to"] - width
+            + F.when(leaves >= 0, F.get(weight, less - 1) - F.get(weight, less)).otherwise(0.0))
+        found, to = state["found"], state["to"] + 1
+        last, begin = F.get(found, F.size(found) - 1), to - width
         joins = F.coalesce(last["to"] >= begin, F.lit(False))
-        window = F.array(F.struct(F.when(joins, last["from"]).otherwise(begin).alias("from"), item["to"].alias("to")))
+        window = F.array(F.struct(F.when(joins, last["from"]).otherwise(begin).alias("from"), to.alias("to")))
         kept = F.when(joins, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
         return F.struct(
-            F.transform(counts, lambda c, i: c + F.when(i + 1 == enters, 1).otherwise(0)
-                        - F.when(i + 1 == leaves, 1).otherwise(0)).alias("counts"),
-            total.alias("sum"),
-            F.when((begin >= 0) & (total <= limit), F.concat(kept, window)).otherwise(found).alias("found"))
-
-    items = F.transform(chars, lambda c, i: F.struct(
-        c.alias("enters"), F.when(i >= width, F.get(chars, i - width)).otherwise(0).alias("leaves"), (i + 1).alias("to")))
-    empty = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"),
-                     F.array().cast("array<struct<from:int,to:int>>").alias("found"))
-    return F.aggregate(items, empty, step, lambda s: s["found"])
+            *((state[w] + one(enters, i) - F.when(leaves >= 0, one(leaves, i)).otherwise(F.lit(0).cast("long"))).alias(w)
+              for i, w in enumerate(words)),
+            total.alias("sum"), to.alias("to"),
+            F.when((begin >= state["first"]) & (total <= limit), F.concat(kept, window)).otherwise(found).alias("found"),
+            state["first"].alias("first"))
+
+    def traversed(chars: Column, first: Column) -> Column:
+        start = F.struct(*(F.lit(0).cast("long").alias(w) for w in words), F.lit(0.0).alias("sum"), first.alias("to"),
+                         F.array().cast("array<struct<from:int,to:int>>").alias("found"), first.alias("first"))
+
+        def stretch(part: Column) -> Column:
+            left = F.concat(F.array_repeat(F.lit(-1), width), F.slice(part, F.lit(1), F.size(part) - width))
+            items = F.zip_with(part, left, lambda c, gone: F.struct(c.alias("enters"), gone.alias("leaves")))
+            return F.aggregate(items, start, step, lambda state: state["found"])
+
+        return _bound(F.slice(chars, first + 1, F.lit(STRETCH + width - 1)), stretch)
+
+    def spans(chars: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(chars) - width, F.lit(STRETCH))
+        return _bound(F.flatten(F.transform(firsts, lambda first: traversed(chars, first))), joined_at_edges)
+
+    def joined_at_edges(found: Column) -> Column:
+        begins = F.filter(found, lambda s, i: (i == 0) | (F.get(found, i - 1)["to"] < s["from"]))
+        ends = F.filter(found, lambda s, i: (i == F.size(found) - 1) | (F.get(found, i + 1)["from"] > s["to"]))
+        return F.zip_with(begins, ends, lambda begin, end: F.struct(begin["from"].alias("from"), end["to"].alias("to")))
+
+    chars = F.transform(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)), lambda c: F.get(places, F.instr(F.lit(alphabet), c) - 1))
+    return _bound(chars, spans)
 
 
 def _as_spans(found: Column, kind: str, rank: int) -> Column:

@@ -373,3 +373,36 @@ def test_unlike_documents_with_one_id(spark):
     classes = Counter((r.doc_id, r.class_id) for r in bagminhash.classes(frame).collect())
     assert classes == Counter((i, 1 if i in (1, 2, 3) else 10 if i and i >= 10 else i) for i, _, _ in rows)
     assert bagminhash.distinct(frame.where("false")).count() == 0
+
+
+def test_entropy_windows_of_long_runs(spark):
+    """Whole windows one by one against the incremental counts, over the edges of stretches; a run of 200,000 characters ends soon."""
+    rng = np.random.default_rng(8)
+    digits, signs = list("0123456789abcdef"), list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwyz23456789+/")
+    texts = ["".join("".join(rng.choice(kind[:int(rng.integers(3, len(kind)))], int(rng.integers(5, 90)))) for _ in range(40))
+             for kind in (digits, signs) * 6]
+    texts += ["".join(rng.choice(signs, n)) for n in (531, 532, 1043, 1044, 200_000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(frame).collect()}
+    for i, text in enumerate(texts):
+        for kind, pattern, _, width, least in secret_scan.CLASSES:
+            wanted = []
+            for m in re.finditer(pattern, text) if len(text) < 10_000 else ():
+                at = m.start()
+                fillers = [(f.start(), f.end()) for f in re.finditer(secret_scan.FILLER, m[0])] + [(len(m[0]), len(m[0]))]
+                begin = 0
+                for start, end in fillers:
+                    piece = m[0][begin:start]
+                    if len(piece) >= width and not re.search(secret_scan.PLAIN, piece):
+                        for a in range(len(piece) - width + 1):
+                            counts = Counter(piece[a:a + width]).values()
+                            if -sum(c / width * np.log2(c / width) for c in counts) >= least - 1e-9:
+                                place = at + begin + a
+                                if wanted and wanted[-1][1] >= place and place - a >= at + begin and wanted[-1][0] >= at + begin:
+                                    wanted[-1] = (wanted[-1][0], place + width)
+                                else:
+                                    wanted.append((place, place + width))
+                    begin = end
+            if len(text) < 10_000:
+                assert [(s.start, s.end) for s in got[i] if s.kind == kind] == wanted
+    assert sum(s.end - s.start for s in got[len(texts) - 1]) > 190_000
