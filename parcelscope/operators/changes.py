@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.operators.ranking import global_positions
 from parcelscope.schemas import Portfolio
+from parcelscope.session import materialize
 
 VALUE_SHIFT = "0.10"
+#: Entries of a key, of both snapshots, up to which they are paired as lists.
+MANY = 4096
 CANCELLED, COMPLETED = "('rescinded', 'cancelled')", "('sold', 'completed')"
 
 
@@ -20,12 +23,36 @@ def _event(df: DataFrame, kind: str, path: str, old: str, new: str) -> DataFrame
 def paired(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Entries of two snapshots: the k-th of a key before meets the k-th after, the rest stays alone.
 
-    Entries are numbered by distributed positions, so a key with very many copies is not sorted in one task.
+    A key's entries of both sides meet in one exchange, as two short lists in the order of ``seq``. Keys with more than ``MANY``
+    entries are found by counting first; theirs are numbered by distributed positions, so none is held or sorted in one task.
     """
     scope = ["property_id", *keys]
+    entry = F.struct("seq", *values).alias("entry")
+    both = before.select(*scope, F.lit(True).alias("was"), entry).unionByName(after.select(*scope, F.lit(False).alias("was"), entry))
+    many = materialize(both.groupBy(*scope).agg(F.count("*").alias("n")).where(F.col("n") > MANY)
+                       .select(*[F.col(name).alias(f"of_{name}") for name in scope]), "many-entries")
+    if not many.limit(1).collect():
+        return _paired_in_lists(both, scope, values)
+    same = F.lit(True)
+    for name in scope:
+        same = same & F.col(name).eqNullSafe(F.col(f"of_{name}"))
+    few = _paired_in_lists(both.join(many, same, "left_anti"), scope, values)
+    return few.unionByName(_paired_by_position(before.join(many, same, "left_semi"), after.join(many, same, "left_semi"), scope, values))
+
+
+def _paired_in_lists(both: DataFrame, scope: list[str], values: list[str]) -> DataFrame:
+    def side(of: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.expr(of), F.col("entry"))))
+
+    lists = both.groupBy(*scope).agg(side("was").alias("b"), side("NOT was").alias("a"))
+    pairs = lists.select(*scope, F.explode(F.arrays_zip("b", "a")).alias("pair"))
+    return pairs.select(*scope, F.col("pair.b").isNotNull().alias("was"), F.col("pair.a").isNotNull().alias("is"),
+                        *[F.col(f"pair.{name}.{value}").alias(f"{name}_{value}") for name in ("b", "a") for value in values])
+
 
+def _paired_by_position(before: DataFrame, after: DataFrame, scope: list[str], values: list[str]) -> DataFrame:
     def numbered(df: DataFrame, side: str) -> DataFrame:
-        rows = global_positions(df.select(*scope, "seq", *values), scope, [F.col("seq").asc()], "k")
+        rows = global_positions(df.select(*scope, "seq", *values), scope, [F.col("seq").asc(), *[F.col(v).asc() for v in values]], "k")
         return rows.select(*[F.col(name).alias(f"{side}_{name}") for name in (*scope, "k", *values)])
 
     b, a = numbered(before, "b"), numbered(after, "a")
@@ -65,22 +92,21 @@ def foreclosure_changes(before: Portfolio, after: Portfolio) -> DataFrame:
 
 def lien_changes(before: Portfolio, after: Portfolio) -> DataFrame:
     rows = paired(before.liens, after.liens, ["lien_type", "recording_date"], ["amount", "status"])
-    path = "concat('liens[', lien_type, ']')"
-    both = rows.where("was AND is")
-    released = "a_status = 'released' AND b_status <> 'released'"
-    return _event(rows.where("NOT was"), "'new_lien'", path, "NULL", "a_amount") \
-        .unionByName(_event(rows.where("NOT is"), "'lien_released'", path, "b_amount", "NULL")) \
-        .unionByName(_event(both.where(released), "'lien_released'", f"concat({path}, '.status')", "b_status", "a_status")) \
-        .unionByName(_event(both.where(f"NOT ({released}) AND NOT b_amount <=> a_amount"), "'lien_amount_corrected'",
-                            f"concat({path}, '.amount')", "b_amount", "a_amount"))
+    released = "was AND is AND a_status = 'released' AND b_status <> 'released'"
+    rows = rows.withColumn("kind", F.expr(f"""CASE WHEN NOT was THEN 'new_lien' WHEN NOT is OR ({released}) THEN 'lien_released'
+        WHEN NOT b_amount <=> a_amount THEN 'lien_amount_corrected' END""")).where("kind IS NOT NULL")
+    part = f"CASE WHEN NOT (was AND is) THEN '' WHEN {released} THEN '.status' ELSE '.amount' END"
+    return _event(rows, "kind", f"concat('liens[', lien_type, ']', {part})",
+                  f"CASE WHEN {released} THEN b_status ELSE CAST(b_amount AS STRING) END",
+                  f"CASE WHEN {released} THEN a_status ELSE CAST(a_amount AS STRING) END")
 
 
 def listing_changes(before: Portfolio, after: Portfolio) -> DataFrame:
     rows = paired(before.listings, after.listings, ["list_date", "status"], ["price"])
-    path = "concat('listings[', CAST(list_date AS STRING), ']')"
-    return _event(rows.where("NOT was"), "'new_listing'", path, "NULL", "a_price") \
-        .unionByName(_event(rows.where("was AND is AND a_price < b_price"), "'price_cut'", f"concat({path}, '.price')",
-                            "b_price", "a_price"))
+    rows = rows.withColumn("kind", F.expr("CASE WHEN NOT was THEN 'new_listing' WHEN is AND a_price < b_price THEN 'price_cut' END")) \
+        .where("kind IS NOT NULL")
+    return _event(rows, "kind", "concat('listings[', CAST(list_date AS STRING), ']', CASE WHEN was THEN '.price' ELSE '' END)",
+                  "b_price", "a_price")
 
 
 def ownership_changes(before: Portfolio, after: Portfolio) -> DataFrame:

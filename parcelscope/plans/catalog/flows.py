@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelscope.operators import changes
 from parcelscope.plans.catalog import plain, query
-from parcelscope.plans.catalog.watch import _snapshots
+from parcelscope.plans.catalog.watch import OWNER_EVENTS, _snapshots
 from parcelscope.plans.driver_tables import Tables
 from parcelscope.session import checkpoint_dir
 from parcelscope.sources import readers, writers
@@ -182,7 +182,12 @@ def superseded(t):
     return plain(out.select("report_id", "entity_local_id", "is_active", "superseded_by"))
 
 
-@query("SNK-7_change_rows", "CHG-4", sql=None)
+@query("SNK-7_change_rows", "CHG-4", sql=f"""
+    SELECT sha256(concat_ws('|', CAST(property_id AS VARCHAR), 'ownership_transfer', 'ownership.owner_names', old_value, new_value,
+        '2002-01-01 00:00:00')) AS event_id, property_id, 'ownership_transfer' AS change_type, 'ownership.owner_names' AS field_path,
+      '{{"value":"' || old_value || '"}}' AS old_json, '{{"value":"' || new_value || '"}}' AS new_json,
+      CAST(NULL AS BIGINT) AS source_report_id, TIMESTAMP '2002-01-01 00:00:00' AS detected_at
+    FROM ({OWNER_EVENTS})""")
 def change_rows(t):
     return plain(writers.change_rows(changes.ownership_changes(*_snapshots(t)), datetime(2002, 1, 1)))
 

@@ -165,8 +165,9 @@ def _paired_sql(name: str, keys: str) -> str:
             f"({numbered.format(keys=keys, table=f'd_{name}_after')}) a ON {on}")
 
 
-@query("CHG-1_foreclosure_changes", sql="""
-    SELECT property_id, kind AS change_type, CASE WHEN kind = 'sale_date_moved' THEN CAST(b_date AS VARCHAR) ELSE b_stage END AS old_value,
+FORECLOSURE_EVENTS = """
+    SELECT property_id, kind AS change_type, CASE WHEN kind = 'sale_date_moved' THEN 'foreclosure.current_sale_date' ELSE 'foreclosure.stage' END AS field_path,
+      CASE WHEN kind = 'sale_date_moved' THEN CAST(b_date AS VARCHAR) ELSE b_stage END AS old_value,
       CASE WHEN kind = 'sale_date_moved' THEN CAST(a_date AS VARCHAR) ELSE a_stage END AS new_value
     FROM (SELECT property_id, b.stage AS b_stage, a.stage AS a_stage, b.current_sale_date AS b_date, a.current_sale_date AS a_date,
         CASE WHEN NOT coalesce(b.is_active, false) AND coalesce(a.is_active, false) THEN 'new_foreclosure_notice'
@@ -174,12 +175,15 @@ def _paired_sql(name: str, keys: str) -> str:
              WHEN a.rescission_count > b.rescission_count OR (a.stage = 'cancelled' AND b.stage <> 'cancelled') THEN 'sale_cancelled'
              WHEN a.stage = 'sold' AND b.stage <> 'sold' THEN 'sale_completed'
              WHEN b.current_sale_date IS DISTINCT FROM a.current_sale_date THEN 'sale_date_moved' END AS kind
-      FROM d_foreclosure b FULL JOIN d_foreclosure_after a USING (property_id)) WHERE kind IS NOT NULL""")
+      FROM d_foreclosure b FULL JOIN d_foreclosure_after a USING (property_id)) WHERE kind IS NOT NULL"""
+
+
+@query("CHG-1_foreclosure_changes", sql=FORECLOSURE_EVENTS)
 def foreclosure_changes(t):
-    return plain(changes.foreclosure_changes(*_snapshots(t)).drop("field_path"))
+    return plain(changes.foreclosure_changes(*_snapshots(t)))
 
 
-@query("CHG-2_lien_changes", "JOI-8", sql=f"""
+LIEN_EVENTS = f"""
     SELECT property_id, change_type, field_path, old_value, new_value FROM (
       SELECT coalesce(b.property_id, a.property_id) AS property_id,
         CASE WHEN b.k IS NULL THEN 'new_lien' WHEN a.k IS NULL THEN 'lien_released'
@@ -191,33 +195,46 @@ def foreclosure_changes(t):
              WHEN a.status = 'released' AND b.status <> 'released' THEN b.status ELSE CAST(b.amount AS VARCHAR) END AS old_value,
         CASE WHEN a.k IS NULL THEN NULL WHEN b.k IS NULL THEN CAST(a.amount AS VARCHAR)
              WHEN a.status = 'released' AND b.status <> 'released' THEN a.status ELSE CAST(a.amount AS VARCHAR) END AS new_value
-      FROM {_paired_sql('liens', 'lien_type, recording_date')}) WHERE change_type IS NOT NULL""")
+      FROM {_paired_sql('liens', 'lien_type, recording_date')}) WHERE change_type IS NOT NULL"""
+
+
+@query("CHG-2_lien_changes", "JOI-8", sql=LIEN_EVENTS)
 def lien_changes(t):
     return plain(changes.lien_changes(*_snapshots(t)))
 
 
-@query("CHG-3_listing_changes", sql=f"""
-    SELECT property_id, change_type, old_value, new_value FROM (
+LISTING_EVENTS = f"""
+    SELECT property_id, change_type, field_path, old_value, new_value FROM (
       SELECT coalesce(b.property_id, a.property_id) AS property_id,
         CASE WHEN b.k IS NULL THEN 'new_listing' WHEN a.price < b.price THEN 'price_cut' END AS change_type,
+        'listings[' || CAST(coalesce(b.list_date, a.list_date) AS VARCHAR) || ']' || CASE WHEN b.k IS NULL THEN '' ELSE '.price' END AS field_path,
         CAST(b.price AS VARCHAR) AS old_value, CAST(a.price AS VARCHAR) AS new_value
-      FROM {_paired_sql('listings', 'list_date, status')}) WHERE change_type IS NOT NULL""")
+      FROM {_paired_sql('listings', 'list_date, status')}) WHERE change_type IS NOT NULL"""
+
+
+@query("CHG-3_listing_changes", sql=LISTING_EVENTS)
 def listing_changes(t):
-    return plain(changes.listing_changes(*_snapshots(t)).drop("field_path"))
+    return plain(changes.listing_changes(*_snapshots(t)))
 
 
-@query("CHG-4_ownership_changes", sql="""
+OWNER_EVENTS = """
     SELECT property_id, b.names AS old_value, a.names AS new_value
     FROM (SELECT property_id, string_agg(DISTINCT owner_name, '; ' ORDER BY owner_name) AS names FROM d_owners GROUP BY 1) b
     JOIN (SELECT property_id, string_agg(DISTINCT owner_name, '; ' ORDER BY owner_name) AS names FROM d_owners_after GROUP BY 1) a
-      USING (property_id) WHERE b.names <> a.names""")
+      USING (property_id) WHERE b.names <> a.names"""
+
+
+@query("CHG-4_ownership_changes", sql=OWNER_EVENTS)
 def ownership_changes(t):
     return plain(changes.ownership_changes(*_snapshots(t)).select("property_id", "old_value", "new_value"))
 
 
-@query("CHG-5_new_bankruptcies", sql="""
+BANKRUPTCY_EVENTS = """
     SELECT property_id, 'bankruptcies[' || chapter || ']' AS field_path, CAST(filing_date AS VARCHAR) AS new_value
-    FROM d_bankruptcies WHERE property_id % 3 = 0""")
+    FROM d_bankruptcies WHERE property_id % 3 = 0"""
+
+
+@query("CHG-5_new_bankruptcies", sql=BANKRUPTCY_EVENTS)
 def new_bankruptcies(t):
     return plain(changes.bankruptcy_changes(*_snapshots(t)).select("property_id", "field_path", "new_value"))
 
@@ -234,7 +251,22 @@ def value_shifts(t):
         "property_id", "round(CAST(old_value AS DOUBLE), 2) AS old_value", "round(CAST(new_value AS DOUBLE), 2) AS new_value"))
 
 
-@query("CHG-7_change_events", "SNK-7", sql=None)
+# The weighted mean as text in whole millionths, rounded half up at eight places and then at six, as decimal division gives it.
+EXACT_VALUE = """SELECT property_id, ((200000000 * wv + w) // (2 * w) + 50) // 100 AS v FROM (
+    SELECT property_id, CAST(sum(CAST(value * 100 AS HUGEINT) * CAST(confidence * 10000 AS HUGEINT)) * 100 AS HUGEINT) AS wv,
+      CAST(sum(CAST(confidence * 10000 AS HUGEINT)) * 10000 AS HUGEINT) AS w FROM {table} WHERE value IS NOT NULL GROUP BY 1)"""
+AS_TEXT = "CAST({v} // 1000000 AS VARCHAR) || '.' || lpad(CAST({v} % 1000000 AS VARCHAR), 6, '0')"
+
+
+@query("CHG-7_change_events", "SNK-7 CHG-6", sql=f"""
+    SELECT property_id, change_type, field_path, old_value, new_value FROM ({FORECLOSURE_EVENTS}) UNION ALL BY NAME
+    SELECT property_id, change_type, field_path, old_value, new_value FROM ({LIEN_EVENTS}) UNION ALL BY NAME
+    SELECT property_id, change_type, field_path, old_value, new_value FROM ({LISTING_EVENTS}) UNION ALL BY NAME
+    SELECT property_id, 'ownership_transfer' AS change_type, 'ownership.owner_names' AS field_path, old_value, new_value FROM ({OWNER_EVENTS}) UNION ALL BY NAME
+    SELECT property_id, 'new_bankruptcy' AS change_type, field_path, NULL AS old_value, new_value FROM ({BANKRUPTCY_EVENTS}) UNION ALL BY NAME
+    SELECT property_id, 'value_shift' AS change_type, 'valuation.value' AS field_path, {AS_TEXT.format(v='b.v')} AS old_value, {AS_TEXT.format(v='a.v')} AS new_value
+    FROM ({EXACT_VALUE.format(table='d_valuations')}) b JOIN ({EXACT_VALUE.format(table='d_valuations_after')}) a USING (property_id)
+    WHERE 10 * abs(a.v - b.v) > b.v""")
 def change_events(t):
     return plain(changes.detect_changes(*_snapshots(t)))
 
