@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -48,6 +48,16 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("property_id"), F.lit(buckets)).cast("int")
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, none where nothing was written yet; a table that can't be read is an error, not an absent one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def replace_results(results: DataFrame, path: str, buckets: int = RESULT_BUCKETS) -> None:
     """Replace the rows of the properties in ``results`` and keep all others; running it twice changes nothing.
 
@@ -56,10 +66,7 @@ def replace_results(results: DataFrame, path: str, buckets: int = RESULT_BUCKETS
     """
     spark = results.sparkSession
     fresh = results.withColumn("bucket", _bucket(buckets))
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException:
-        existing = None
+    existing = _existing(spark, path)
     if existing is not None:
         touched = fresh.select("bucket").distinct()
         kept = existing.join(F.broadcast(touched), "bucket", "left_semi").join(
@@ -80,11 +87,9 @@ def mark_recomputed(properties: DataFrame, underwriting: DataFrame, at: datetime
 
 def append_facts(facts: DataFrame, path: str) -> None:
     """Add facts, active and inactive, whose ids the ledger does not hold yet."""
-    try:
-        known = facts.sparkSession.read.parquet(path).select("fact_id")
-        facts = facts.join(known, "fact_id", "left_anti")
-    except AnalysisException:
-        pass
+    existing = _existing(facts.sparkSession, path)
+    if existing is not None:
+        facts = facts.join(existing.select("fact_id"), "fact_id", "left_anti")
     materialize(facts.dropDuplicates(["fact_id"]), "append").write.mode("append").parquet(path)
 
 
