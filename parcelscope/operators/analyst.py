@@ -129,14 +129,17 @@ def explanations(pairs: DataFrame, scores: DataFrame, top: int = TOP_DRIVERS) ->
 
 
 def numbers_allowed(texts: DataFrame, payload: DataFrame) -> DataFrame:
-    """Texts (id, text) whose every number occurs in the payload rows (id, number), as stated, times 100, or rounded."""
-    mentioned = texts.select("id", F.explode_outer(F.array_distinct(numbers_in(F.col("text")))).alias("number"))
+    """Texts (id, text) whose every number occurs in the payload rows (id, number), as stated, times 100, or rounded.
+
+    A literal that is too long for a number occurs in no payload.
+    """
+    mentioned = texts.select("id", F.explode_outer(F.array_distinct(numbers_in(F.col("text")))).alias("x")).select("id", "x.*")
     allowed = payload.select("id", F.explode(F.expr("""array(CAST(number AS DECIMAL(28,8)), CAST(number * 100 AS DECIMAL(28,8)),
         CAST(bround(number, 0) AS DECIMAL(28,8)), CAST(bround(number, 1) AS DECIMAL(28,8)),
         CAST(bround(number, 2) AS DECIMAL(28,8)))""")).alias("number")).distinct().withColumn("ok", F.lit(True))
     judged = mentioned.join(allowed, ["id", "number"], "left")
-    return judged.groupBy("id").agg(F.count("number").alias("numbers"),
-                                    F.bool_and(F.expr("number IS NULL OR ok IS NOT NULL")).alias("is_valid"))
+    return judged.groupBy("id").agg(F.count(F.coalesce(F.col("number").cast("string"), "unread")).alias("numbers"),
+                                    F.bool_and(F.expr("unread IS NULL AND (number IS NULL OR ok IS NOT NULL)")).alias("is_valid"))
 
 
 METRICS = (

@@ -63,7 +63,8 @@ def explanations(t):
 @query("STR-18_numbers_in_text", sql="""
     SELECT doc_id, len(regexp_extract_all(text, '[-+]?\\$?\\d[\\d,]*(?:\\.\\d+)?%?')) AS numbers FROM documents""")
 def numbers_in_text(t):
-    return plain(t.source("documents").select("doc_id", F.size(numbers_in(F.col("text"))).cast("bigint").alias("numbers")))
+    numbers = F.when(F.col("text").isNotNull(), F.size(numbers_in(F.col("text"))))
+    return plain(t.source("documents").select("doc_id", numbers.cast("bigint").alias("numbers")))
 
 
 @query("ANL-3_number_check", "JSN-1 SET-6", sql="""
