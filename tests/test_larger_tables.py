@@ -42,3 +42,10 @@ def test_sets_of_grams_are_not_sent_through_the_driver(spark):
     subjects = names.select(F.col("key").alias("subject"), "block", "text", F.lit(None).cast("long").alias("before"), F.col("key").alias("own"))
     plan = nearest.nearest_texts(subjects, names, 0.8, identity.best_matches)._jdf.queryExecution().executedPlan().toString()
     assert "part#" in plan and re.search(r"BroadcastHashJoin \[block#\d+L?, other#\d+L?, part#", plan) is None
+
+
+def test_validated_facts_are_not_exchanged_or_written(spark):
+    """Facts are many times their responses: what is exchanged stands below the step that makes them."""
+    plan = QUERIES["EXT-2_validated_facts"].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().executedPlan().toString()
+    above, made, _ = plan.partition("Generate")
+    assert made and "Exchange" not in above
