@@ -21,8 +21,8 @@ def _folder(t: Tables, label: str) -> str:
 
 
 def _stream(t: Tables, table: str):
-    """A driver table as a stream of its files: one file, or a folder of any number of them."""
-    return t.spark.readStream.schema(t.source(table).schema).parquet(f"{t.folder}/{table}.parquet")
+    """A driver table as a stream of its files: one file, or a folder of any number of them. A path without a pattern must be a folder."""
+    return t.spark.readStream.schema(t.source(table).schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 @query("STM-1_file_intake", "SRC-3")
