@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from oracle import compare
 from parcelscope.operators import analyst, identity, nearest
+from parcelscope.operators.linking import components_within
 from parcelscope.plans import catalog
+from parcelscope.plans.catalog import records
 from parcelscope.plans.driver_tables import Tables
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -49,3 +51,24 @@ def test_validated_facts_are_not_exchanged_or_written(spark):
     plan = QUERIES["EXT-2_validated_facts"].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().executedPlan().toString()
     above, made, _ = plan.partition("Generate")
     assert made and "Exchange" not in above
+
+
+def test_scored_facts_are_not_exchanged(spark):
+    """Line items are dealt by property; the facts made from them meet there, and stored ones are read as they were dealt."""
+    tables = Tables(spark, str(FOLDER))
+    plan = QUERIES["RES-1_precedence_scores"].run(tables)._jdf.queryExecution().executedPlan().toString()
+    above, made, _ = plan.partition("Generate")
+    assert made and "Exchange" not in above
+    stored = records.resolved(tables).scored.groupBy("property_id", "entity_key").agg(F.count("*"))
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owners_are_solved_across_batches(spark):
+    edges = [(f"o{at % 7}", f"o{at % 7}-{at // 7 + 1:03d}", f"o{at % 7}-{at // 7:03d}") for at in range(210)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = components_within(spark.createDataFrame(edges, "owner string, u string, v string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {tuple(row) for row in got} == {(f"o{owner}-{at:03d}", f"o{owner}-000") for owner in range(7) for at in range(31)}
