@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.functions.sql import lookup
@@ -10,6 +10,7 @@ from parcelscope.functions.text import numbers_in
 
 TOP_DRIVERS = 5
 MIN_SET, MAX_SET = 2, 4
+PILLARS = "('fos', 'distress', 'dcs', 'risk')"
 
 # Label, raw figure and format of the score terms a sentence may mention.
 TERM_LABELS = {
@@ -51,28 +52,48 @@ TERM_LABELS = {
 }
 
 
-def _components(scores: DataFrame, side: str) -> DataFrame:
-    # The outer form keeps the optimizer from copying the score expression into an emptiness filter.
-    return scores.select(F.col("property_id").alias(f"{side}_id"), F.explode_outer("components").alias("name", f"{side}_points"))
+def _compared(pairs: DataFrame, scores: DataFrame, *more: str) -> DataFrame:
+    """Pairs (a_id, b_id) with the score terms of both sides as maps; a side without a score has no terms. A property has a few
+    dozen terms, so they stay in the row of the pair."""
+    none = F.create_map().cast(scores.schema["components"].dataType)
+
+    def side(name: str) -> DataFrame:
+        return scores.select(F.col("property_id").alias(f"{name}_id"), F.col("components").alias(f"{name}_terms"),
+                             F.lit(True).alias(f"{name}_known"), *[F.col(column).alias(f"{name}_{column}") for column in more])
+
+    both = pairs.select("a_id", "b_id").join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
+    return both.withColumns({name: F.coalesce(name, none) for name in ("a_terms", "b_terms")})
+
+
+def _with_drivers(compared: DataFrame, top: int) -> DataFrame:
+    """Compared pairs with ``drivers``: the terms that differ most, by size and then name."""
+    # Risk counts against; the order of the fields is the order of the drivers.
+    signed = "CAST((coalesce(x, 0) - coalesce(y, 0)) * CASE WHEN startswith(k, 'risk') THEN -1 ELSE 1 END AS DECIMAL(18,6))"
+    return compared.withColumn("drivers", F.expr(f"""slice(array_sort(transform(
+        filter(map_entries(map_zip_with(a_terms, b_terms, (k, x, y) -> {signed})),
+               e -> e.value <> 0 AND substring_index(e.key, '_', 1) IN {PILLARS}),
+        e -> named_struct('minus_size', -abs(e.value), 'name', e.key, 'point_delta', e.value))), 1, {top})"""))
 
 
 def term_deltas(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """Every score term of every pair (a_id, b_id) with the signed difference; a missing term counts zero, risk counts against."""
-    key = ["a_id", "b_id", "name"]
-    a = pairs.join(_components(scores, "a"), "a_id").where("name IS NOT NULL")
-    b = pairs.join(_components(scores, "b"), "b_id").where("name IS NOT NULL")
-    rows = a.join(b, key, "full").selectExpr(
-        "a_id", "b_id", "name", "coalesce(a_points, 0) AS a_points", "coalesce(b_points, 0) AS b_points",
+    # The outer form keeps the optimizer from copying the expression into an emptiness filter.
+    rows = _compared(pairs, scores).selectExpr(
+        "a_id", "b_id", "explode_outer(map_zip_with(a_terms, b_terms, (k, x, y) -> struct(x, y))) AS (name, points)").selectExpr(
+        "a_id", "b_id", "name", "coalesce(points.x, 0) AS a_points", "coalesce(points.y, 0) AS b_points",
         "substring_index(name, '_', 1) AS pillar")
-    return rows.where("pillar IN ('fos', 'distress', 'dcs', 'risk')").withColumn("point_delta", F.expr(
+    return rows.where(f"pillar IN {PILLARS}").withColumn("point_delta", F.expr(
         "CAST((a_points - b_points) * CASE WHEN pillar = 'risk' THEN -1 ELSE 1 END AS DECIMAL(18,6))"))
 
 
 def top_drivers(pairs: DataFrame, scores: DataFrame, top: int = TOP_DRIVERS) -> DataFrame:
-    """The terms that differ most per pair, by size and then name. A pair has a few dozen terms, so its window is bounded."""
-    order = Window.partitionBy("a_id", "b_id").orderBy(F.abs("point_delta").desc(), "name")
-    return term_deltas(pairs, scores).where("point_delta <> 0").withColumn("place", F.row_number().over(order)) \
-        .where(F.col("place") <= top)
+    """The terms that differ most per pair, by size and then name."""
+    rows = _with_drivers(_compared(pairs, scores), top).selectExpr(
+        "a_id", "b_id", "a_terms", "b_terms", "posexplode_outer(drivers) AS (at, driver)").where("driver IS NOT NULL")
+    return rows.selectExpr(
+        "a_id", "b_id", "driver.name AS name", "coalesce(a_terms[driver.name], 0) AS a_points",
+        "coalesce(b_terms[driver.name], 0) AS b_points", "substring_index(driver.name, '_', 1) AS pillar",
+        "driver.point_delta AS point_delta", "at + 1 AS place")
 
 
 def pillar_deltas(pairs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -94,35 +115,34 @@ def _points(column: str) -> str:
 def explanations(pairs: DataFrame, scores: DataFrame, top: int = TOP_DRIVERS) -> DataFrame:
     """One sentence per pair built from the numbers alone: the gap, its drivers and what offsets them."""
     def label(at: int) -> str:
-        return lookup({name: values[at] for name, values in TERM_LABELS.items() if values[at]}, "name", "STRING")
-
-    raw_of = {name: values[1] for name, values in TERM_LABELS.items() if values[1]}
-    terms = top_drivers(pairs, scores, top).withColumn("raw_name", F.expr(lookup(raw_of, "name", "STRING")))
+        return lookup({name: values[at] for name, values in TERM_LABELS.items() if values[at]}, "x.name", "STRING")
 
-    def raw(side: str) -> DataFrame:
-        return _components(scores, side).select(f"{side}_id", F.col("name").alias("raw_name"), F.col(f"{side}_points").alias(f"{side}_raw"))
+    raw_name = lookup({name: values[1] for name, values in TERM_LABELS.items() if values[1]}, "x.name", "STRING")
 
-    terms = terms.join(raw("a"), ["a_id", "raw_name"], "left").join(raw("b"), ["b_id", "raw_name"], "left")
+    def raw(side: str) -> str:
+        return f"{side}_terms[{raw_name}]"
 
     def shown(side: str) -> str:
-        return (f"CASE {label(2)} WHEN 'money' THEN concat('$', format_number(bround({side}_raw, 0), 0)) "
-                f"ELSE concat({_points(f'{side}_raw * 100')}, '%') END")
+        return (f"CASE {label(2)} WHEN 'money' THEN concat('$', format_number(bround({raw(side)}, 0), 0)) "
+                f"ELSE concat({_points(f'{raw(side)} * 100')}, '%') END")
 
-    clause = (f"CASE WHEN a_raw IS NOT NULL AND b_raw IS NOT NULL THEN "
+    clause = (f"CASE WHEN {raw('a')} IS NOT NULL AND {raw('b')} IS NOT NULL THEN "
               f"concat(' (', {shown('a')}, ' vs ', {shown('b')}, ' ', {label(3)}, ')') ELSE '' END")
-    terms = terms.withColumn("phrase", F.expr(
-        f"concat(coalesce({label(0)}, name), ' ', CASE WHEN point_delta > 0 THEN '+' ELSE '' END, {_points('point_delta')}, ' pts', {clause})"))
-    gaps = pillar_deltas(pairs, scores)
-    joined = terms.join(gaps.select("a_id", "b_id", "overall_delta"), ["a_id", "b_id"]).withColumn(
-        "drives", F.expr("overall_delta = 0 OR point_delta * overall_delta > 0"))
-    lists = joined.groupBy("a_id", "b_id").agg(*[
-        F.expr(f"array_join(transform(array_sort(collect_list(CASE WHEN {condition} THEN struct(place, phrase) END)), x -> x.phrase), '; ') AS {name}")
-        for condition, name in (("drives", "drivers"), ("NOT drives", "offsets"))])
+    phrase = (f"concat(coalesce({label(0)}, x.name), ' ', CASE WHEN x.point_delta > 0 THEN '+' ELSE '' END, "
+              f"{_points('x.point_delta')}, ' pts', {clause})")
+    drives = "(overall_delta = 0 OR x.point_delta * overall_delta > 0)"
+
+    def listed(condition: str) -> str:
+        return f"CASE WHEN size(found) > 0 THEN array_join(transform(filter(found, x -> {condition}), x -> {phrase}), '; ') END"
+
+    terms = _with_drivers(_compared(pairs, scores, "overall").where("a_known AND b_known"), top)
+    lists = terms.withColumnRenamed("drivers", "found").selectExpr("*", "a_overall - b_overall AS overall_delta") \
+        .selectExpr("*", f"{listed(drives)} AS drivers", f"{listed(f'NOT {drives}')} AS offsets")
     who_a, who_b = "CAST(a_id AS STRING)", "CAST(b_id AS STRING)"
     headline = f"""CASE WHEN overall_delta = 0 THEN concat({who_a}, ' and ', {who_b}, ' are tied at ', {_points('a_overall')}, ' overall.')
         ELSE concat({who_a}, ' is ', {_points('abs(overall_delta)')}, ' points ', CASE WHEN overall_delta > 0 THEN 'above ' ELSE 'below ' END,
                     {who_b}, ' overall (', {_points('a_overall')}, ' vs ', {_points('b_overall')}, ').') END"""
-    return gaps.join(lists, ["a_id", "b_id"], "left").selectExpr("a_id", "b_id", f"""concat({headline},
+    return lists.selectExpr("a_id", "b_id", f"""concat({headline},
         CASE WHEN drivers IS NULL THEN ' No scoring sub-term differs.' ELSE concat(
             CASE WHEN drivers <> '' THEN concat(' Biggest drivers: ', drivers, '.') ELSE '' END,
             CASE WHEN offsets <> '' THEN concat(' Partly offset by ', offsets, '.') ELSE '' END) END) AS explanation""")

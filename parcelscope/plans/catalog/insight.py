@@ -9,11 +9,12 @@ from parcelscope.operators import analyst, calibration
 from parcelscope.operators.scoring import DEFAULT_CONFIG
 from parcelscope.plans.catalog import plain, query, step
 from parcelscope.plans.catalog.lists import computed
+from parcelscope.session import spread
 
 
 def _pairs(t):
     """Every property against the next one."""
-    return t.source("part").selectExpr("p_partkey AS a_id", "p_partkey + 1 AS b_id")
+    return spread(t.source("part").selectExpr("p_partkey AS a_id", "p_partkey + 1 AS b_id"), "a_id")
 
 
 TERM_COLUMNS = {

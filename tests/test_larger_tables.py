@@ -72,3 +72,21 @@ def test_owners_are_solved_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {tuple(row) for row in got} == {(f"o{owner}-{at:03d}", f"o{owner}-000") for owner in range(7) for at in range(31)}
+
+
+def test_score_terms_are_compared_inside_the_rows_of_a_pair(spark):
+    terms = [(1, 60.0, {"fos_roi_norm": 3.0, "risk_liens": 2.0, "dcs_recency": 1.0, "other": 9.0}), (2, 50.0, {"fos_roi_norm": 1.0, "risk_hoa_arrears": 4.0})]
+    scores = spark.createDataFrame(terms, "property_id long, overall double, components map<string, double>").withColumn(
+        "overall", F.col("overall").cast("decimal(9,4)")).withColumn("components", F.col("components").cast("map<string, decimal(18,6)>"))
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "a_id long, b_id long")
+    rows = analyst.term_deltas(pairs, scores)
+    assert {(row.a_id, row.name): float(row.point_delta) for row in rows.collect()} == {
+        (1, "fos_roi_norm"): 2, (1, "risk_liens"): -2, (1, "dcs_recency"): 1, (1, "risk_hoa_arrears"): 4, (2, "fos_roi_norm"): 1, (2, "risk_hoa_arrears"): -4}
+    drivers = analyst.top_drivers(pairs, scores, 2)
+    assert [(r.place, r.name) for r in drivers.where("a_id = 1").orderBy("place").collect()] == [(1, "risk_hoa_arrears"), (2, "fos_roi_norm")]
+    explained = analyst.explanations(pairs, scores)
+    assert [row.a_id for row in explained.collect()] == [1]
+    # One join per side; terms are neither exchanged one by one nor sorted over the table.
+    for frame, joins in ((rows, 2), (drivers, 2), (explained, 2)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"\bJoin\b", plan)) == joins and "Window" not in plan and "Aggregate" not in plan
