@@ -107,3 +107,22 @@ def test_components_within_owners(spark, monkeypatch, small):
     got = {(row.node, row.component) for row in components_within(spark.createDataFrame(edges, "owner string, u string, v string")).collect()}
     assert got == {(node, find(node)) for node in linked}
     assert components_within(spark.createDataFrame([], "owner string, u string, v string")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 12, 24])
+@pytest.mark.parametrize("seed,close,spread", [(1, MORTGAGES, 900), (4, LIENS, 300)])
+def test_names_with_few_and_with_many_entries(spark, monkeypatch, few, seed, close, spread):
+    """Names compared directly and names linked by the rules give the components of all pairs together."""
+    monkeypatch.setattr(linking, "FEW", few)
+    nodes = random_nodes(seed, 110, close, spread)
+    schema = "property_id long, node string, doc string, name string, day int, amount decimal(16,2)"
+    df = spark.createDataFrame([tuple(n.values()) for n in nodes], schema)
+    found = components(links(df, close)).groupBy("component").agg(F.collect_list("node").alias("members")).collect()
+    assert {frozenset(row.members) for row in found} == brute_force(nodes, close)
+
+
+def test_names_with_few_entries_take_one_join(spark):
+    df = spark.createDataFrame([tuple(n.values()) for n in random_nodes(3, 40, LIENS, 300)],
+                               "property_id long, node string, doc string, name string, day int, amount decimal(16,2)")
+    plan = links(df, LIENS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.count("Aggregate") == 0
