@@ -119,11 +119,13 @@ def new_reports(t):
 @query("SRC-1_page_files", sql="SELECT page_id AS report, length(html) AS size FROM pages")
 def page_files(t):
     folder = _folder(t, "pages")
-    # Page files as an extractor leaves them; every page of the table becomes page one of a report.
-    rows = t.source("pages").selectExpr("page_id", "regexp_replace(html, '\\n', ' ') AS value")
-    rows.repartition(8, "page_id").write.partitionBy("page_id").text(folder)
+    # One file per page, the page's number in its first line: a folder per page would cost as many listings as pages.
+    rows = t.source("pages").selectExpr("concat(coalesce(CAST(page_id AS STRING), ''), '\n', coalesce(regexp_replace(html, '\\n', ' '), '')) AS value")
+    rows.repartition(t.spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).text(folder)
     files = t.spark.read.format("text").option("wholetext", "true").load(folder)
-    return plain(files.select(F.col("page_id").cast("bigint").alias("report"), (F.length("value") - 1).cast("bigint").alias("size")))
+    number = F.substring_index("value", "\n", 1)
+    return plain(files.select(F.nullif(number, F.lit("")).cast("bigint").alias("report"),
+                              (F.length("value") - F.length(number) - 2).cast("bigint").alias("size")))
 
 
 @query("SNK-1_csv_export", sql="SELECT CAST(id AS VARCHAR) AS id, address_line1, state FROM d_properties")

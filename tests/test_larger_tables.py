@@ -11,7 +11,7 @@ from oracle import compare
 from parcelscope.operators import analyst, identity, nearest
 from parcelscope.operators.linking import components_within
 from parcelscope.plans import catalog
-from parcelscope.plans.catalog import records
+from parcelscope.plans.catalog import flows, records
 from parcelscope.plans.driver_tables import Tables
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -90,3 +90,22 @@ def test_score_terms_are_compared_inside_the_rows_of_a_pair(spark):
     for frame, joins in ((rows, 2), (drivers, 2), (explained, 2)):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert len(re.findall(r"\bJoin\b", plan)) == joins and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_page_files_share_one_folder(spark, tmp_path, monkeypatch):
+    pages = [(at, f"<p>{at}\n\nx</p>\r\n") for at in range(20)] + [(20, ""), (21, "7\n8")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(flows, "_folder", lambda t, label: str(tmp_path / label))
+    rows = QUERIES["SRC-1_page_files"].run(Tables(spark, str(tmp_path))).collect()
+    assert {(row.report, row["size"]) for row in rows} == {(number, len(html)) for number, html in pages}
+    assert len(list((tmp_path / "pages").glob("*.txt"))) == len(pages) and not [path for path in (tmp_path / "pages").iterdir() if path.is_dir()]
+
+
+def test_a_task_reads_few_rows_of_a_large_exchange(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(12_000_000).select("id", F.rand(1).alias("x")).repartition("id")
+        assert rows.select(F.spark_partition_id().alias("task"), "x").groupBy("task").agg(F.sum("x")).count() > 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
