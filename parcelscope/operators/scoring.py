@@ -22,7 +22,7 @@ from parcelscope.functions.sql import (
     unit_interval,
 )
 from parcelscope.operators.assumptions import Assumptions
-from parcelscope.operators.strategies import CORROBORATED, deal_inputs, with_strategies
+from parcelscope.operators.strategies import CORROBORATED, RESULT_FIELDS, deal_inputs, with_strategies
 from parcelscope.operators.underwriting import with_scenarios
 from parcelscope.schemas import Portfolio
 
@@ -71,6 +71,9 @@ PRIOR_BANKRUPTCY_STATUSES = ("dismissed", "discharged", "closed")
 FAILED_LISTING_STATUSES = ("expired", "cancelled")
 NEAR_SALE_STAGES = ("nts", "auction")
 
+#: What scores read of a strategy result.
+SCORED_FIELDS = ("status", "mao", "profit", "roi", "margin_of_safety")
+
 
 def merged_config(override: Mapping | None = None) -> dict:
     """The default configuration with the sections and entries of an override laid over it."""
@@ -290,17 +293,19 @@ def score_rows(rows: DataFrame, config: dict, as_of: date) -> DataFrame:
         "alternatives AS recommended_alternatives")
 
 
-def score_inputs(p: Portfolio, a: Assumptions, as_of: date, config: dict, price: str = "purchase_price") -> DataFrame:
+def score_inputs(p: Portfolio, a: Assumptions, as_of: date, config: dict, price: str = "purchase_price",
+                 fields: tuple[str, ...] = RESULT_FIELDS) -> DataFrame:
     """Scenario rows with strategies and the distress terms of liens, filings and listings."""
     wide = (deal_inputs(p, a, None, price)
             .join(lien_terms(p, config), "property_id", "left")
             .join(bankruptcy_terms(p, config), "property_id", "left")
             .join(listing_terms(p, config, as_of), "property_id", "left"))
-    return with_strategies(with_scenarios(wide, a), a)
+    return with_strategies(with_scenarios(wide, a), a, fields)
 
 
 def score(p: Portfolio, a: Assumptions, as_of: date, override: Mapping | None = None,
           price: str = "purchase_price") -> DataFrame:
     """The scores table: one row per property and assumption set."""
     config = merged_config(override)
-    return score_rows(score_inputs(p, a, as_of, config, price).where("scenario = 'expected'"), config, as_of)
+    rows = score_inputs(p, a, as_of, config, price, SCORED_FIELDS)
+    return score_rows(rows.where("scenario = 'expected'"), config, as_of)

@@ -93,7 +93,7 @@ def number_check(t):
 def comp_sets(t):
     r = computed(t)
     sets = t.source("part").selectExpr("CAST(floor(p_partkey / 4) AS BIGINT) AS set_id", "p_partkey AS property_id")
-    rows = analyst.comp_sets(sets, r.underwriting, r.scores, r.strategies)
+    rows = analyst.comp_sets(sets, r.underwriting, r.scores, r.strategies("status", "mao", "profit", "roi"))
     return plain(rows.where("metric NOT IN ('best_strategy', 'key_risks', 'refused')").drop("text"))
 
 

@@ -109,3 +109,11 @@ def test_a_task_reads_few_rows_of_a_large_exchange(spark):
         assert rows.select(F.spark_partition_id().alias("task"), "x").groupBy("task").agg(F.sum("x")).count() > 12
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["SRT-8_top_two_offers", "SNK-10_net_sheets"])
+def test_a_report_makes_only_the_figures_it_reads(spark, name):
+    """No other result table is made or written for it: the plan starts at the driver tables and knows nothing of rents."""
+    plan = QUERIES[name].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" in plan and "scenario-rows" not in plan
+    assert "rental_service" not in plan and "auction_holding" not in plan
