@@ -39,8 +39,8 @@ SEGMENT = 1 << 20
 @cache
 def code_point_classes() -> np.ndarray:
     """The class of every code point by Unicode 16: what the interpreter's older tables hold, and the blocks added since."""
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000
-                    and (unicodedata.category(chr(c)) != "Cn" or any(a <= c <= b for a, b in ADDED)))
+    added = {c for a, b in ADDED for c in range(a, b + 1)}
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) != "Cn" or c in added))
     classes = np.full(0x110000, OTHER, np.uint8)
     for kind, name in ((LETTER, "L"), (NUMBER, "N")):
         members = "".join(regex.findall(rf"\p{{{name}}}+", every))
