@@ -117,3 +117,25 @@ def test_a_report_makes_only_the_figures_it_reads(spark, name):
     plan = QUERIES[name].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" in plan and "scenario-rows" not in plan
     assert "rental_service" not in plan and "auction_holding" not in plan
+
+
+def _method_sizes(spark, frame) -> list[int]:
+    """Bytes of the largest generated method of every compiled part of a plan."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", frame._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_methods_of_validated_facts_are_small_enough_to_be_compiled(spark):
+    """The JVM only interprets methods of more than 8,000 bytes, which takes several times as long per fact."""
+    sizes = _method_sizes(spark, QUERIES["EXT-2_validated_facts"].run(Tables(spark, str(FOLDER))))
+    assert sizes and max(sizes) <= 8000
+
+
+def test_facts_are_judged_once_for_their_grades(spark):
+    """Both sides of the comparison read the stored facts, and a repeated expectation is counted without another pass."""
+    plan = QUERIES["EXT-5_field_accuracy"].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and len(re.findall(r"\bJoin\b", plan)) == 1

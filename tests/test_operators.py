@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelscope.functions.address import address_key, with_address_parts
-from parcelscope.functions.text import parsed_number, token_estimate
+from parcelscope.functions.dates import iso_date
+from parcelscope.functions.text import lenient_number, parsed_number, token_estimate
 from parcelscope.operators import analyst, calibration, documents, extraction, identity, portfolio, ranking
 from parcelscope.operators.assumptions import DEFAULT_SET, Assumptions, transfer_tax
 from parcelscope.operators.documents import Signature
@@ -40,6 +41,20 @@ def test_number_text_and_tokens(spark):
     assert rows.sparkSession.range(1).select(token_estimate(F.lit("Hello, world 12345 ok\n\nX"))).first()[0] == 8
 
 
+def test_odd_numbers_and_dates(spark):
+    cases = {"470,": None, "$1,,0": D(10), "1,.5": D("1.5"), "(-5)": D(-5), "( 7 k )": D(7000), "$-5": None, "1.123456789": D("1.12345679"),
+             "99999999999999.5%": D("99999999999999.5"), "123456789012345": None, "5.": None, " -$12 ": D(-12), None: None}
+    rows = spark.createDataFrame([(text,) for text in cases], "text string")
+    assert {row[0]: row[1] for row in rows.select("text", parsed_number(F.col("text"))).collect()} == cases
+    cases = {"1e3": D(1000), "+.5": D("0.5"), "5.": D(5), "$1,000": D(1000), "\t7\n": D(7), "٣": D(3), "901 Main St": None, "First": None, "1.2.3": None,
+             "e5": None, "-": None, "": None, " ": None, "9" * 30: None, None: None}
+    rows = spark.createDataFrame([(text,) for text in cases], "text string")
+    assert {row[0]: row[1] for row in rows.select("text", lenient_number(F.col("text"))).collect()} == cases
+    cases = {"2024-02-29": date(2024, 2, 29), "2023-02-29": None, "2024-2-29": None, "2024-02-29 ": None, "2024-02-29\n": None, " 2024-02-29": None, None: None}
+    rows = spark.createDataFrame([(text,) for text in cases], "text string")
+    assert {row[0]: row[1] for row in rows.select("text", iso_date(F.col("text"))).collect()} == cases
+
+
 def test_best_matches_equal_all_pairs(spark):
     rng = random.Random(3)
     words = ["maple", "mapple", "oak", "oaks", "river", "rivers", "street", "streets", "12", "121", "1212"]
