@@ -42,7 +42,7 @@ def test_number_text_and_tokens(spark):
 
 
 def test_odd_numbers_and_dates(spark):
-    cases = {"470,": None, "$1,,0": D(10), "1,.5": D("1.5"), "(-5)": D(-5), "( 7 k )": D(7000), "$-5": None, "1.123456789": D("1.12345679"),
+    cases = {"470,": None, "$1,,0": D(10), "1,.5": D("1.5"), "(-5)": D(-5), "( 7 k )": D(-7000), "7 K": D(7000), "$-5": None, "1.123456789": D("1.12345679"),
              "99999999999999.5%": D("99999999999999.5"), "123456789012345": None, "5.": None, " -$12 ": D(-12), None: None}
     rows = spark.createDataFrame([(text,) for text in cases], "text string")
     assert {row[0]: row[1] for row in rows.select("text", parsed_number(F.col("text"))).collect()} == cases
