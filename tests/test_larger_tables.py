@@ -139,3 +139,9 @@ def test_facts_are_judged_once_for_their_grades(spark):
     """Both sides of the comparison read the stored facts, and a repeated expectation is counted without another pass."""
     plan = QUERIES["EXT-5_field_accuracy"].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and len(re.findall(r"\bJoin\b", plan)) == 1
+
+
+def test_one_sort_serves_the_windows_of_agreement(spark):
+    plan = QUERIES["RES-1_precedence_scores"].run(Tables(spark, str(FOLDER)))._jdf.queryExecution().executedPlan().toString()
+    above, made, _ = plan.partition("Generate")
+    assert made and above.count("Window [") == 3 and above.count("Sort [") == 1

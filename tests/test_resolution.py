@@ -157,3 +157,25 @@ def test_agreement_is_exact_at_the_border(spark):
     got = {row.report_id: row.agreeing for row in resolution.agreement(typed).collect()}
     wanted = {at: sum(i != at and abs(x - y) <= D("0.02") * max(abs(x), abs(y)) for i, y in enumerate(amounts)) for at, x in enumerate(amounts)}
     assert got == wanted
+
+
+def test_a_table_is_made_from_its_own_kinds_and_is_the_same(spark):
+    facts = ledger(spark, [
+        *mortgage(1, 1, "m1", "240000", date(2017, 8, 1)), *mortgage(1, 2, "m2", "241000", date(2017, 8, 10), lender="WELLS FARGO HOME MTG"),
+        *mortgage(2, 1, "m1", "90000", date(2015, 1, 1)),
+        fact(1, 1, "property", "p", "property.apn", value_text="APN-1"),
+        fact(1, 1, "valuation", "v1", "valuation.type", value_text="Comp"),
+        fact(1, 1, "valuation", "v1", "valuation.estimate", value_parsed=D("350000")),
+        fact(1, 1, "foreclosure", "e1", "foreclosure.stage", value_text="NOD"),
+        fact(2, 2, "foreclosure", "e2", "foreclosure.nts_date", value_date=date(2026, 5, 1)),
+        fact(2, 1, "listing", "s1", "listing.date", value_date=date(2026, 4, 1))])
+    whole = resolution.resolve(facts, AS_OF)
+    portfolio = whole.portfolio
+    for name, kinds in (("mortgages", {"mortgage"}), ("foreclosure", {"foreclosure"}), ("listings", {"listing"})):
+        alone = resolution.resolve(facts, AS_OF)
+        rows = alone.record(name)
+        assert list(alone._scored) == [frozenset(kinds)] and list(alone._tables) == [name]
+        assert sorted(map(str, rows.collect())) == sorted(map(str, getattr(portfolio, name).collect())) != []
+    alone = resolution.resolve(facts, AS_OF)
+    assert sorted(alone.entries("mortgage").collect()) == sorted(whole.entries("mortgage").collect()) != []
+    assert not alone._scored
